@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import minhash, quality
+from recollect.llm import chat, line_dedup, minhash, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_fingerprints": minhash.query,
+    "op3_chat_formatting": chat.query,
+    "op4_line_dedup": line_dedup.query,
+    "op5_packing": packing.query,
     "op6_quality_rules": quality.query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op4_line_dedup": line_dedup.SQL}
