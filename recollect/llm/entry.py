@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import chat, line_dedup, minhash, packing, quality
+from recollect.llm import chat, line_dedup, minhash, packing, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_fingerprints": minhash.query,
+    "op2_suffix_array_dedup": repeats.query,
     "op3_chat_formatting": chat.query,
     "op4_line_dedup": line_dedup.query,
     "op5_packing": packing.query,
