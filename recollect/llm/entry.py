@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import chat, line_dedup, minhash, packing, quality, repeats
+from recollect.llm import chat, chosen_path, line_dedup, minhash, packing, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_fingerprints": minhash.query,
@@ -15,5 +15,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": line_dedup.query,
     "op5_packing": packing.query,
     "op6_quality_rules": quality.query,
+    "op7_ngram_jaccard_join": chosen_path.query,
 }
 SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op4_line_dedup": line_dedup.SQL}

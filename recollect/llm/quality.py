@@ -130,7 +130,9 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows whose verdict is kept, with docs' own columns."""
-    return assess(docs, rules).where(~F.col("_q_base_failed") & F.col("_q_passed")).select(docs.columns)
+    # a filter would be pushed below the projection and repeat its expressions; a row number in it keeps the filter above
+    judged = assess(docs, rules).select(*docs.columns, (~F.col("_q_base_failed") & F.col("_q_passed")).alias("_q_kept"), F.monotonically_increasing_id().alias("_q_row"))
+    return judged.where(F.col("_q_kept") & (F.col("_q_row") >= 0)).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
