@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import chat, chosen_path, line_dedup, minhash, packing, quality, repeats
+from recollect.llm import chat, chosen_path, line_dedup, minhash, packing, quality, repeats, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_fingerprints": minhash.query,
@@ -16,5 +16,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": packing.query,
     "op6_quality_rules": quality.query,
     "op7_ngram_jaccard_join": chosen_path.query,
+    "op8_lm_scoring": scoring.query,
 }
 SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op4_line_dedup": line_dedup.SQL}
