@@ -5,8 +5,8 @@ bytes choose the same anchor (the least hash of their ``gram``-byte substrings),
 
 1. every text is cut into the runs of start positions that share an anchor; the bytes of such a run's strings are its context
    (anchor hash, context hash, place), found in one vectorised pass;
-2. anchors found once in the corpus can't hold a repeat and go; equal contexts are one class, and a class of two or more
-   places enters the index twice, which is all that its places can tell;
+2. anchors found once in the corpus can't hold a repeat and go; equal contexts are one class, which enters the index once
+   with its number of places as weight;
 3. the distinct contexts are dealt to shards by anchor. A shard's text (contexts with separators) is suffix-sorted, and
    breadth-first backward extension of intervals on its transform derives common prefix lengths in increasing order, a level
    a length, stopping at ``size``: neighbours still unseparated then share ``size`` bytes (:func:`repeated_starts`);
@@ -213,14 +213,21 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index_shard(table: pa.Table, size: int) -> pa.Table:
-    """(h, c, a, b): ranges of repeated starts in each context of a shard (h, c, k, body)."""
-    bodies, twice = table.column("body").to_pylist(), table.column("k").to_numpy() > 1
-    fed = bodies + [b for b, t in zip(bodies, twice, strict=True) if t]
-    found = repeated_starts(fed, size)[: sum(len(b) + 1 for b in bodies)]
-    a, b = _runs(found)
+    """(h, c, a, b): ranges of repeated starts in each context of a shard (h, c, k, body). Each distinct context is in the
+    index once with its number of places as weight: a string is repeated if another suffix shares it or its weight is 2."""
+    h, c, k = (table.column(n).to_numpy() for n in ("h", "c", "k"))
+    order = np.lexsort((c, h))
+    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])])
+    heads = np.flatnonzero(new)
+    weights, rows = np.add.reduceat(k[order], heads), order[heads]
+    bodies = table.column("body").take(pa.array(rows)).to_pylist()
+    found = repeated_starts(bodies, size)
     begins = np.cumsum([0] + [len(x) + 1 for x in bodies])
+    for row in np.flatnonzero(weights > 1):
+        found[begins[row] : begins[row + 1] - size] = True
+    a, b = _runs(found)
     row = np.searchsorted(begins, a, "right") - 1  # a context's last start is followed by size - 1 bytes: runs don't cross
-    return pa.table({"h": table.column("h").take(pa.array(row)), "c": table.column("c").take(pa.array(row)), "a": pa.array((a - begins[row]).astype(np.int32)), "b": pa.array((b - begins[row]).astype(np.int32))})
+    return pa.table({"h": pa.array(h[rows][row]), "c": pa.array(c[rows][row]), "a": pa.array((a - begins[row]).astype(np.int32)), "b": pa.array((b - begins[row]).astype(np.int32))})
 
 
 def _hot_starts(parts: DataFrame, size: int) -> DataFrame:
@@ -241,7 +248,7 @@ def _hot_starts(parts: DataFrame, size: int) -> DataFrame:
 
     rows = parts.select("h", "c", "k", "body").mapInArrow(strings, "h long, c long, k long, a int, one long, two long")
     often = rows.groupBy("h", "one", "two").agg(F.sum("k").alias("n")).where("n > 1").select("h", "one", "two")
-    return rows.join(often, ["h", "one", "two"]).select("h", "c", "a", (F.col("a") + 1).alias("b"))
+    return rows.join(often, ["h", "one", "two"]).select("h", "c", "a", (F.col("a") + 1).alias("b")).distinct()
 
 
 def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_CONTEXTS, shard_bytes: int = SHARD_BYTES, bound: int = 1 << 22) -> DataFrame:
@@ -263,36 +270,33 @@ def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_CO
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, c, text, s, count = all_contexts(batch.column(2), size, gram)
-            h = h.view(np.int64)
-            if known is not None:
-                table = known.value
-                ok = table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h if len(table) else np.zeros(len(h), bool)
-                h, c, text, s, count = h[ok], c[ok], text[ok], s[ok], count[ok]
-            pick = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(s.astype(np.int32)), pa.array(count.astype(np.int32))], ["h", "c", "i", "t", "s", "n"])
-
-    found = docs.select("i", "t", "text").mapInArrow(places, "h long, c long, i long, t long, s int, n int")
+            for lo, hi, data, offsets in slices(batch.column(2)):
+                part = batch.column(2).slice(lo, hi - lo)
+                h, c, text, s, count = all_contexts(part, size, gram)
+                h = h.view(np.int64)
+                if known is not None:
+                    table = known.value
+                    ok = table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h if len(table) else np.zeros(len(h), bool)
+                    h, c, text, s, count = h[ok], c[ok], text[ok], s[ok], count[ok]
+                if not len(h):
+                    continue
+                # a slice's first place of a context has its bytes and the number of its places here
+                _, first, back = np.unique(np.stack([h.view(np.uint64), c]), axis=1, return_index=True, return_inverse=True)
+                k = np.zeros(len(h), np.int64)
+                k[first] = np.bincount(back.ravel(), minlength=len(first))
+                at = offsets[text] + s
+                raw = data.tobytes()
+                body = [raw[x : x + n - 1 + size] if y else None for x, n, y in zip(at.tolist(), count.tolist(), k.tolist(), strict=True)]
+                pick = pa.array(text + lo)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(s.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(k), pa.array(body, pa.binary())], ["h", "c", "i", "t", "s", "n", "k", "body"])
+
+    found = docs.select("i", "t", "text").mapInArrow(places, "h long, c long, i long, t long, s int, n int, k long, body binary")
     found = (found if known is not None else found.join(repeated, "h", "left_semi")).checkpoint()
-    classes = found.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(F.struct("i", "t", "s", "n")).alias("at"))
-    per_anchor = classes.groupBy("h").agg(F.count("*").alias("m"), F.sum(F.col("at.n") + size).alias("bytes"))
+    bodies = found.where("k > 0").select("h", "c", "k", "body")
+    per_anchor = found.groupBy("h", "c").agg(F.first("n").alias("n")).groupBy("h").agg(F.count("*").alias("m"), F.sum(F.col("n") + size).alias("bytes"))
     sizes = per_anchor.agg(F.sum("bytes").alias("bytes"), F.max("m").alias("most")).head()
     shards = max(1, -(-int(sizes["bytes"] or 0) // shard_bytes))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, c, k, body = [], [], [], []
-            for text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                whole = text.encode()
-                for r in rows:
-                    h.append(r["h"]), c.append(r["c"]), k.append(r["k"]), body.append(whole[r["s"] : r["s"] + r["n"] - 1 + size])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.int64()), pa.array(body, pa.binary())], ["h", "c", "k", "body"])
-
-    wanted = classes.groupBy(F.col("at.i").alias("wi"), F.col("at.t").alias("wt")).agg(F.collect_list(F.struct("h", "c", "k", F.col("at.s").alias("s"), F.col("at.n").alias("n"))).alias("rows"))
-    fetched = docs.join(wanted, (F.col("i") == F.col("wi")) & (F.col("t") == F.col("wt"))).select("text", "rows")
-    bodies = fetched.mapInArrow(cut, "h long, c long, k long, body binary")
-    plain = bodies
-    starts = None
+    plain, starts = bodies, None
     if (sizes["most"] or 0) > hot:
         heavy = per_anchor.where(F.col("m") > hot).select("h")
         starts = _hot_starts(bodies.join(heavy, "h", "left_semi"), size)
@@ -304,7 +308,7 @@ def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_CO
     dealt = plain.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     indexed = dealt.groupBy("shard").applyInArrow(index, "h long, c long, a int, b int")
     starts = indexed if starts is None else indexed.unionByName(starts)
-    covered = found.join(starts, ["h", "c"]).select("i", "t", (F.col("s") + F.col("a")).alias("from"), (F.col("s") + F.col("b") - 1 + size).alias("to"))
+    covered = found.select("h", "c", "i", "t", "s").join(starts, ["h", "c"]).select("i", "t", (F.col("s") + F.col("a")).alias("from"), (F.col("s") + F.col("b") - 1 + size).alias("to"))
     return covered.groupBy("i", "t").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
