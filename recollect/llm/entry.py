@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import chat, chosen_path, line_dedup, minhash, packing, quality, repeats, scoring
+from recollect.llm import chat, chosen_path, licenses, line_dedup, minhash, packing, pieces, quality, repeats, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_fingerprints": minhash.query,
@@ -17,5 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": quality.query,
     "op7_ngram_jaccard_join": chosen_path.query,
     "op8_lm_scoring": scoring.query,
+    "op9_license_scan": licenses.query,
+    "op10_sentencepiece": pieces.query,
 }
-SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op4_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op4_line_dedup": line_dedup.SQL, "op9_license_scan": licenses.sql()}
