@@ -329,8 +329,8 @@ def removed(docs: DataFrame, **options: int) -> DataFrame:
 
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "_t": F.xxhash64(text)})
-    found = spans(keyed.select(F.col("_i").alias("i"), F.col("_t").alias("t"), text.alias("text")), **options)
-    joined = keyed.join(found, (F.col("_i") == F.col("i")) & (F.col("_t") == F.col("t")), "left").select(*docs.columns, "spans")
+    found = spans(keyed.select(F.col("_i").alias("i"), F.col("_t").alias("t"), text.alias("text")), **options).toDF("_i", "_t", "_spans")
+    joined = keyed.join(found, ["_i", "_t"], "left").select(*docs.columns, "_spans")
     text_at, last = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
