@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.textnum import mix
+from recollect.llm.textnum import mix, small_batches
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -136,7 +136,7 @@ def frequent_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """(low, high, docs, last): the hashes of keys in at least min_docs rows, with their count and largest doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             ids, hashes = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = {h for _, h in keys_of(_lowered(text), min_chars)}
@@ -195,7 +195,7 @@ def _by_broadcast(docs: DataFrame, shared, shards: int, min_chars: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = {k: Shard.load(v) for k, v in shared.value.items()}
-        for batch in batches:
+        for batch in small_batches(batches, text_at):
             texts, ids = batch.column(text_at).to_pylist(), batch.column(id_at).to_pylist()
             where, hashes, n_lines = [], [], []
             for row, text in enumerate(texts):
@@ -230,7 +230,7 @@ def _by_shard(docs: DataFrame, index: DataFrame, shards: int, min_chars: int) ->
     keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), text))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             rows, hashes, numbers = [], [], []
             for row, i, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for number, h in keys_of(_lowered(t), min_chars):

@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
+from recollect.llm.textnum import small_batches
+
 LENGTH = 1024
 END = 0
-CACHE_CHUNKS = 1 << 18
+CACHE_CHUNKS = 1 << 17
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 _encoders: dict[str, Encoder] = {}
@@ -93,7 +95,7 @@ def packed(docs: DataFrame, path: str, most: int = LENGTH, with_ids: bool = Fals
         own = encoder(path)
         # unique without a shuffle: the partition in the high bits, the piece's number in it in the low ones
         number = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             rows: list[tuple] = []
             bodies: list[bytes] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.llm.textnum import small_batches
+
 MARKER = "▁"
 # Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -277,16 +279,9 @@ def _mapped(docs: DataFrame, path: str, schema: str, columns) -> DataFrame:  # n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in small_batches(batches, 1, SLICE_CHARS):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b]) <= SLICE_CHARS):
-                    size += len(texts[b])
-                    b += 1
-                yield pa.RecordBatch.from_arrays(columns(table, batch.column(0).slice(a, b - a), texts[a:b], table.encode(texts[a:b])), names)
-                a = b
+            yield pa.RecordBatch.from_arrays(columns(table, batch.column(0), texts, table.encode(texts)), names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.textnum import BASE, BASE_INVERSE, flat, mix, powers, slices
+from recollect.llm.textnum import BASE, BASE_INVERSE, flat, mix, powers, slices, small_batches
 
 SIZE, GRAM = 200, 50
 SHARD_BYTES = 2 << 20
@@ -324,7 +324,8 @@ def merged(rows: list[dict]) -> list[tuple[int, int]]:
 
 
 def removed(docs: DataFrame, **options: int) -> DataFrame:
-    """docs' own columns with `_kept` (binary: the remaining bytes), `_n_bytes`, `_n_removed`, `_n_spans`."""
+    """docs' own columns with `_kept` (binary: the remaining bytes), `_text` (their whole characters; null for a null text),
+    `_n_bytes`, `_n_removed`, `_n_spans`."""
     from pyspark.sql import types as T
 
     text = F.coalesce("text", F.lit(""))
@@ -334,7 +335,7 @@ def removed(docs: DataFrame, **options: int) -> DataFrame:
     text_at, last = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, text_at):
             kept, sizes, gone, parts = [], [], [], []
             for t, rows in zip(batch.column(text_at).to_pylist(), batch.column(last).to_pylist(), strict=True):
                 whole = (t or "").encode()
@@ -347,9 +348,10 @@ def removed(docs: DataFrame, **options: int) -> DataFrame:
                 sizes.append(len(whole))
                 gone.append(sum(b - a for a, b in ranges))
                 parts.append(len(ranges))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes, gone, parts)]], [*batch.schema.names[:last], "_kept", "_n_bytes", "_n_removed", "_n_spans"])
+            words = [None if t is None else k.decode(errors="ignore") for t, k in zip(batch.column(text_at).to_pylist(), kept, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(kept, pa.binary()), pa.array(words, pa.string()), *[pa.array(x, pa.int64()) for x in (sizes, gone, parts)]], [*batch.schema.names[:last], "_kept", "_text", "_n_bytes", "_n_removed", "_n_spans"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")]])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_kept", T.BinaryType()), T.StructField("_text", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")]])
     return joined.mapInArrow(run, schema)
 
 
@@ -362,16 +364,8 @@ def apply(docs: DataFrame, **options: int) -> DataFrame:
     """docs with its own columns; text without repeated bytes (bytes of characters that were cut in half go too), n_chars
     (if there) following it."""
     out = removed(docs, **options)
-    names = set(docs.columns)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, kept = batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("_kept")).to_pylist()
-            new = [None if t is None else k.decode(errors="ignore") for t, k in zip(own, kept, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == "text" else batch.column(k) for k, n in enumerate(batch.schema.names) if n in names], [n for n in batch.schema.names if n in names])
-
-    out = out.mapInArrow(decode, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    lengths = {"n_chars": F.length("_text").cast("long")} if "n_chars" in docs.columns else {}
+    return out.withColumns({"text": F.col("_text")} | lengths).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,19 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         i = j
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], text: int, most: int = 2 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of column `text`, so that Python objects are made for a few rows only;
+    the pool's free memory goes back in the end, as workers stay and wait."""
+    for batch in batches:
+        _, offsets = flat(batch.column(text))
+        i, n = 0, len(batch)
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+    pa.default_memory_pool().release_unused()
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and for each document the index of its first word (len + 1)."""
     inside = IS_WORD[data]
