@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.textnum import BASE, BASE_INVERSE, flat, mix, powers, slices, small_batches
+from recollect.llm.textnum import BASE, BASE_INVERSE, give_back, mix, powers, slices, small_batches
 
 SIZE, GRAM = 200, 50
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 HOT_CONTEXTS = 1 << 14
 LOWEST = -(1 << 63)
 
@@ -111,93 +111,114 @@ def all_contexts(texts: pa.Array, size: int, gram: int) -> tuple[np.ndarray, ...
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else contexts(np.zeros(0, np.uint8), np.zeros(1, np.int64), size, gram)
 
 
-def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rank of each suffix of a text of contexts, each closed by a separator (symbol 0; `ends`: its place for each position).
-    Separators are ordered by place. Prefix doubling: only suffixes still tied are sorted again."""
+#: Symbols of a sort key (9 bits each): suffixes are told apart by them at once, and the expansion starts from them.
+KEY = 7
+
+
+def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each suffix of a text of contexts, each closed by a separator (symbol 0; `ends`: its place for each position),
+    and its first KEY symbols as a key. Separators are ordered by place. Prefix doubling sorts only suffixes still tied."""
     n = len(symbols)
     separators = np.flatnonzero(symbols == 0)
+    place = np.arange(n, dtype=np.int32)
     key = np.zeros(n, np.int64)
-    for j in range(7):
-        at = np.arange(n) + j
-        key = (key << 9) | np.where(at < ends, symbols[np.minimum(at, n - 1)], 0)
+    for j in range(KEY):
+        at = place + j
+        key <<= 9
+        key |= np.where(at < ends, symbols[np.minimum(at, n - 1)], 0)
     key[separators] = -1
-    order = np.argsort(key)
-    ranks = np.empty(n, np.int64)
+    order = np.argsort(key).astype(np.int32)
+    ranks = np.empty(n, np.int32)
     ordered = key[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    heads = np.flatnonzero(new)
+    del ordered
+    heads = np.flatnonzero(new).astype(np.int32)
     ranks[order] = heads[np.cumsum(new) - 1]
     ranks[separators] = np.arange(len(separators))
     sizes = np.diff(np.append(heads, n))
     tied = order[np.repeat(sizes > 1, sizes)]
     tied = tied[symbols[tied] != 0]
-    h = 7
+    h = KEY
     while len(tied):
-        key = (ranks[tied] << 32) | ranks[np.minimum(tied + h, ends[tied])]
-        by = np.argsort(key)
-        tied, ordered = tied[by], key[by]
-        old = ordered >> 32
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        pair = (ranks[tied].astype(np.int64) << 32) | ranks[np.minimum(tied + h, ends[tied])]
+        by = np.argsort(pair)
+        tied, pair = tied[by], pair[by]
+        old = pair >> 32
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])
         group = np.concatenate([[True], old[1:] != old[:-1]])
         at = np.arange(len(tied))
         ranks[tied] = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
         sizes = np.diff(np.append(np.flatnonzero(new), len(tied)))
         tied = tied[np.repeat(sizes > 1, sizes)]
         h *= 2
-    return ranks
+    return ranks, key
+
+
+def _first_levels(key: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Common prefixes below KEY of neighbours by rank, from keys in rank order; -1: KEY or more. left: symbols before a
+    suffix's separator."""
+    other = key[1:] ^ key[:-1]
+    equal = np.zeros(len(other), np.int16)
+    for j in range(KEY):
+        equal += (other >> (9 * (KEY - 1 - j))) == 0
+    equal[(key[1:] < 0) | (key[:-1] < 0)] = 0
+    equal = np.minimum(equal, left[1:])
+    return np.where(equal < KEY, equal, -1).astype(np.int16)
 
 
 def repeated_starts(bodies: list[bytes], size: int) -> np.ndarray:
-    """Which positions of the joined bodies (a separator after each) start a string of `size` bytes found at another one."""
+    """Which positions of the joined bodies (a separator after each) start a string of `size` bytes found at another one.
+
+    levels[k], the common prefix of the suffixes ranked k-1 and k, is derived in increasing order: at each level the intervals
+    of strings of that length that were told apart one level before are extended to the left by every byte; where an
+    extension's right bound has no level yet, it gets this one, and the extension is an interval of the next level. Levels
+    below KEY are read off the sort keys. The loop stops at `size`; bounds without a level have longer common prefixes."""
     joined = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
     lengths = np.array([len(b) for b in bodies])
     stops = np.cumsum(lengths + 1) - 1
-    ends = np.repeat(stops, lengths + 1)
-    symbols = joined.astype(np.int64) + 1
+    ends = np.repeat(stops, lengths + 1).astype(np.int32)
+    symbols = joined.astype(np.int16) + np.int16(1)
     symbols[stops] = 0
     n, m = len(symbols), len(bodies)
-    ranks = suffix_ranks(symbols, ends)
+    ranks, key = suffix_ranks(symbols, ends)
     places = np.empty(n, np.int32)
     places[ranks] = np.arange(n, dtype=np.int32)
-    back = ranks.astype(np.int32)[places - 1]  # LF: the rank of the suffix one to the left
+    left = (ends - np.arange(n, dtype=np.int32))[places]
+    back = ranks[places - 1]  # LF: the rank of the suffix one to the left
     origin = np.empty(n + 1, np.int32)  # its inverse
     origin[back] = np.arange(n, dtype=np.int32)
     first = np.zeros(n + 1, np.int16)
     first[:n] = symbols[places]
     first[n] = -1
-    del symbols, ranks, ends, joined
-    # levels[k]: the common prefix of the suffixes ranked k-1 and k, derived in increasing order; -1: not yet
     levels = np.full(n + 1, -1, np.int16)
     levels[: m + 1], levels[n] = 0, 0
-    low, high = np.array([0], np.int32), np.array([n], np.int32)
-    for level in range(size):
+    if size > KEY:
+        levels[1:n] = _first_levels(key[places], left)
+        levels[: m + 1] = 0
+        bounds = np.flatnonzero(levels >= 0).astype(np.int32)
+        low, high = bounds[:-1], bounds[1:]
+        open_ = (levels[high] == KEY - 1) & (left[low] >= KEY - 1)
+        low, high, begin = low[open_], high[open_], KEY
+    else:
+        low, high, begin = np.array([0], np.int32), np.array([n], np.int32), 0
+    del symbols, ranks, ends, joined, key, left
+    for level in range(begin, size):
         widths = high - low
-        total = int(widths.sum())
-        if not total:
+        if not len(widths):
             break
-        lefts: list[np.ndarray] = []
-        rights: list[np.ndarray] = []
-        cuts = np.searchsorted(np.cumsum(widths), np.arange(0, total, 1 << 19), "right") if total > 1 << 19 else [0]
-        for a, b in zip(cuts, [*cuts[1:], len(low)], strict=True):
-            if a == b:
-                continue
-            w, lo, hi = widths[a:b], low[a:b], high[a:b]
-            k = np.arange(int(w.sum()), dtype=np.int32) + np.repeat(lo - np.concatenate([[0], np.cumsum(w)[:-1]]).astype(np.int32), w)
-            lo, hi = np.repeat(lo, w), np.repeat(hi, w)
-            q = back[k]
-            real = first[q] != 0  # strings don't cross separators
-            q, lo, hi = q[real], lo[real], hi[real]
-            c = first[q]
-            is_last = (first[q + 1] != c) | (origin[q + 1] >= hi)
-            is_first = (first[q - 1] != c) | (origin[q - 1] < lo)
-            # the extensions of one level are disjoint ranges, so first and last ones pair up in order
-            left, right = np.sort(q[is_first]), np.sort(q[is_last]) + 1
-            fresh = levels[right] < 0
-            levels[right[fresh]] = level
-            lefts.append(left[fresh])
-            rights.append(right[fresh])
-        low = np.concatenate(lefts) if lefts else np.zeros(0, np.int32)
-        high = np.concatenate(rights) if rights else np.zeros(0, np.int32)
+        k = np.arange(int(widths.sum()), dtype=np.int32) + np.repeat(low - (np.cumsum(widths) - widths).astype(np.int32), widths)
+        lo, hi = np.repeat(low, widths), np.repeat(high, widths)
+        q = back[k]
+        c = first[q]
+        real = c != 0  # strings don't cross separators
+        q, lo, hi, c = q[real], lo[real], hi[real], c[real]
+        is_last = (first[q + 1] != c) | (origin[q + 1] >= hi)
+        is_first = (first[q - 1] != c) | (origin[q - 1] < lo)
+        # the extensions of one level are disjoint ranges, so first and last ones pair up in order
+        low, high = np.sort(q[is_first]), np.sort(q[is_last]) + 1
+        fresh = levels[high] < 0
+        low, high = low[fresh], high[fresh]
+        levels[high] = level
         if level == 0:  # each separator is a string of its own, which texts may end with
             low, high = np.append(low, np.arange(m, dtype=np.int32)), np.append(high, np.arange(1, m + 1, dtype=np.int32))
     open_ = levels < 0
@@ -303,7 +324,9 @@ def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_CO
         plain = bodies.join(heavy, "h", "left_anti")
 
     def index(table: pa.Table) -> pa.Table:
-        return index_shard(table, size)
+        out = index_shard(table, size)
+        give_back()
+        return out
 
     dealt = plain.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     indexed = dealt.groupBy("shard").applyInArrow(index, "h long, c long, a int, b int")

@@ -7,6 +7,8 @@ finaliser, so a word has the same hash wherever it stands.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,7 +78,14 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: int, most: int = 2 *
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: Python workers stay and wait between tasks."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
