@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from recollect.queries import facts  # noqa: F401
+from recollect.queries import facts, search  # noqa: F401
 from recollect.queries.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
