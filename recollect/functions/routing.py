@@ -16,7 +16,7 @@ UPDATE_CUES = (
     "switched", "updated", "update", "moved", "new ", "latest", "as of",
 )
 COUNT_CUES = ("how many", "how much", "count", "number of", "list all", "list the", "all the", "total", "in total", "every", "each of")
-DATE_WORD = r"(?i)\b(19|20)\d{2}\b|\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(uary|ruary|ch|il|e|y|ust|tember|ober|ember)?\b"
+DATE_WORD = r"^(19|20)[0-9]{2}$|^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(uary|ruary|ch|il|e|y|ust|tember|ober|ember)?$"
 ADVICE = (
     r"(?i)\b(recommend\w*|suggest\w*|propose)\b|what should i|what would you (recommend|suggest|do)"
     r"|any (advice|ideas?|tips|suggestions?|recommendations?|thoughts)|do you have any (advice|ideas?|tips|suggestions?|recommendations?)"
@@ -40,13 +40,18 @@ def has_cue(text: Column, cues: tuple[str, ...]) -> Column:
     return F.exists(F.array(*map(F.lit, cues)), lambda c: F.contains(F.lower(text), c))
 
 
+def has_date(text: Column) -> Column:
+    """A year or a month's name stands as a word."""
+    return F.exists(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike(DATE_WORD))
+
+
 def question_class(text: Column, ability: Column | None = None) -> Column:
     """An ability label decides; else cues of change, of time, of counting, in this order; else general."""
     hint = F.replace(F.lower(ability), F.lit("-"), F.lit("_")) if ability is not None else F.lit(None).cast("string")
     by_hint = F.try_element_at(F.create_map(*[F.lit(x) for kv in ABILITIES.items() for x in kv]), hint)
     by_text = (
         F.when(has_cue(text, UPDATE_CUES), "knowledge_update")
-        .when(has_cue(text, TEMPORAL_CUES) | text.rlike(DATE_WORD), "temporal")
+        .when(has_cue(text, TEMPORAL_CUES) | has_date(text), "temporal")
         .when(has_cue(text, COUNT_CUES), "aggregation")
         .otherwise("general")
     )

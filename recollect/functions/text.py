@@ -72,6 +72,11 @@ def normalized_answer(text: Column) -> Column:
     return F.array_join(words, " ")
 
 
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value) with value evaluated once: a lambda's variable is bound, a repeated expression would be computed again."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def multiset_overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays."""
     count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
@@ -88,10 +93,12 @@ def exact_match(gold: Column, predicted: Column) -> Column:
 
 def token_f1(gold: Column, predicted: Column) -> Column:
     """Token F1 with multiset overlap; 0 without overlap."""
-    g, p = words(normalized_answer(gold)), words(normalized_answer(predicted))
-    both = multiset_overlap(p, g)
-    precision, recall = both / F.size(p), both / F.size(g)
-    return F.when(both == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+
+    def score(sides: Column) -> Column:
+        g, p = sides["g"], sides["p"]
+        return let(multiset_overlap(p, g), lambda n: F.when(n == 0, 0.0).otherwise(2 * (n / F.size(p)) * (n / F.size(g)) / (n / F.size(p) + n / F.size(g))))
+
+    return let(F.struct(words(normalized_answer(gold)).alias("g"), words(normalized_answer(predicted)).alias("p")), score)
 
 
 def set_f1(gold: Column, predicted: Column) -> Column:
@@ -176,7 +183,7 @@ def parsed_answer(text: Column) -> Column:
 
 
 def split_evidence(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, "[;,]"), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, "[;,]"), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def glob(column: Column, pattern: str) -> Column:
