@@ -240,7 +240,7 @@ def index_shard(table: pa.Table, size: int) -> pa.Table:
     order = np.lexsort((c, h))
     new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])])
     heads = np.flatnonzero(new)
-    weights, rows = np.add.reduceat(k[order], heads), order[heads]
+    weights, rows = k[order][heads], order[heads]  # k counts all places, also where a repeated row has brought a context twice
     bodies = table.column("body").take(pa.array(rows)).to_pylist()
     found = repeated_starts(bodies, size)
     begins = np.cumsum([0] + [len(x) + 1 for x in bodies])
@@ -272,17 +272,19 @@ def _hot_starts(parts: DataFrame, size: int) -> DataFrame:
     return rows.join(often, ["h", "one", "two"]).select("h", "c", "a", (F.col("a") + 1).alias("b")).distinct()
 
 
-def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_CONTEXTS, shard_bytes: int = SHARD_BYTES, bound: int = 1 << 22) -> DataFrame:
-    """(i, t, spans): for each text (by id and hash) that has any, the byte ranges of repeated strings, not merged.
+def spans(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_CONTEXTS, shard_bytes: int = SHARD_BYTES, bound: int = 1 << 22) -> DataFrame:
+    """(_i, _t, _spans): for each text (by id and hash) that has any, the byte ranges of repeated strings, not merged.
 
-    docs: (i, t, text). bound: repeated anchors are sent to the tasks up to this number (8 bytes each), beyond it they join."""
-    spark = docs.sparkSession
+    keyed: documents with _i and _t. bound: repeated anchors are sent to the tasks up to this number (8 bytes each), beyond
+    it they join."""
+    spark = keyed.sparkSession
+    texts = keyed.select(F.col("_i").alias("i"), F.col("_t").alias("t"), "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(all_contexts(batch.column(0), size, gram)[0].view(np.int64))], ["h"])
 
-    repeated = docs.select("text").mapInArrow(anchors, "h long").groupBy("h").count().where("count > 1").select("h").checkpoint()
+    repeated = texts.select("text").mapInArrow(anchors, "h long").groupBy("h").count().where("count > 1").select("h").checkpoint()
     n = repeated.count()
     known = None
     if n <= bound:
@@ -291,32 +293,41 @@ def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_CO
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(2)):
-                part = batch.column(2).slice(lo, hi - lo)
-                h, c, text, s, count = all_contexts(part, size, gram)
-                h = h.view(np.int64)
-                if known is not None:
-                    table = known.value
-                    ok = table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h if len(table) else np.zeros(len(h), bool)
-                    h, c, text, s, count = h[ok], c[ok], text[ok], s[ok], count[ok]
-                if not len(h):
-                    continue
-                # a slice's first place of a context has its bytes and the number of its places here
-                _, first, back = np.unique(np.stack([h.view(np.uint64), c]), axis=1, return_index=True, return_inverse=True)
-                k = np.zeros(len(h), np.int64)
-                k[first] = np.bincount(back.ravel(), minlength=len(first))
-                at = offsets[text] + s
-                raw = data.tobytes()
-                body = [raw[x : x + n - 1 + size] if y else None for x, n, y in zip(at.tolist(), count.tolist(), k.tolist(), strict=True)]
-                pick = pa.array(text + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(s.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(k), pa.array(body, pa.binary())], ["h", "c", "i", "t", "s", "n", "k", "body"])
-
-    found = docs.select("i", "t", "text").mapInArrow(places, "h long, c long, i long, t long, s int, n int, k long, body binary")
+            h, c, text, s, count = all_contexts(batch.column(2), size, gram)
+            h = h.view(np.int64)
+            if known is not None:
+                table = known.value
+                ok = table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h if len(table) else np.zeros(len(h), bool)
+                h, c, text, s, count = h[ok], c[ok], text[ok], s[ok], count[ok]
+            pick = pa.array(text)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(s.astype(np.int32)), pa.array(count.astype(np.int32))], ["h", "c", "i", "t", "s", "n"])
+
+    found = texts.mapInArrow(places, "h long, c long, i long, t long, s int, n int")
     found = (found if known is not None else found.join(repeated, "h", "left_semi")).checkpoint()
-    bodies = found.where("k > 0").select("h", "c", "k", "body")
-    per_anchor = found.groupBy("h", "c").agg(F.first("n").alias("n")).groupBy("h").agg(F.count("*").alias("m"), F.sum(F.col("n") + size).alias("bytes"))
+    classes = found.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(F.struct("i", "t", "s", "n")).alias("at")).checkpoint()
+    per_anchor = classes.groupBy("h").agg(F.count("*").alias("m"), F.sum(F.col("at.n") + size).alias("bytes"))
     sizes = per_anchor.agg(F.sum("bytes").alias("bytes"), F.max("m").alias("most")).head()
     shards = max(1, -(-int(sizes["bytes"] or 0) // shard_bytes))
+
+    # each class's bytes are cut from one of its places; all columns go along, so that this join's shuffle of the documents is
+    # the one that the last join uses too
+    wanted = classes.groupBy(F.col("at.i").alias("_i"), F.col("at.t").alias("_t")).agg(F.collect_list(F.struct("h", "c", "k", F.col("at.s").alias("s"), F.col("at.n").alias("n"))).alias("_rows"))
+    fetched = keyed.join(wanted, ["_i", "_t"]).select(*keyed.columns, "_rows")
+    text_at = keyed.columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, text_at):
+            h, c, k, body = [], [], [], []
+            for text, rows in zip(batch.column(text_at).to_pylist(), batch.column(len(batch.schema.names) - 1).to_pylist(), strict=True):
+                whole = (text or "").encode()
+                for r in rows:
+                    h.append(r["h"])
+                    c.append(r["c"])
+                    k.append(r["k"])
+                    body.append(whole[r["s"] : r["s"] + r["n"] - 1 + size])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.int64()), pa.array(body, pa.binary())], ["h", "c", "k", "body"])
+
+    bodies = fetched.mapInArrow(cut, "h long, c long, k long, body binary")
     plain, starts = bodies, None
     if (sizes["most"] or 0) > hot:
         heavy = per_anchor.where(F.col("m") > hot).select("h")
@@ -332,7 +343,7 @@ def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_CO
     indexed = dealt.groupBy("shard").applyInArrow(index, "h long, c long, a int, b int")
     starts = indexed if starts is None else indexed.unionByName(starts)
     covered = found.select("h", "c", "i", "t", "s").join(starts, ["h", "c"]).select("i", "t", (F.col("s") + F.col("a")).alias("from"), (F.col("s") + F.col("b") - 1 + size).alias("to"))
-    return covered.groupBy("i", "t").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    return covered.groupBy(F.col("i").alias("_i"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("from", "to")).alias("_spans"))
 
 
 def merged(rows: list[dict]) -> list[tuple[int, int]]:
@@ -351,10 +362,8 @@ def removed(docs: DataFrame, **options: int) -> DataFrame:
     `_n_bytes`, `_n_removed`, `_n_spans`."""
     from pyspark.sql import types as T
 
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "_t": F.xxhash64(text)})
-    found = spans(keyed.select(F.col("_i").alias("i"), F.col("_t").alias("t"), text.alias("text")), **options).toDF("_i", "_t", "_spans")
-    joined = keyed.join(found, ["_i", "_t"], "left").select(*docs.columns, "_spans")
+    keyed = docs.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "_t": F.xxhash64(F.coalesce("text", F.lit("")))})
+    joined = keyed.join(spans(keyed, **options), ["_i", "_t"], "left").select(*docs.columns, "_spans")
     text_at, last = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
