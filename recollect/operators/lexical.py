@@ -27,15 +27,17 @@ def weights(posted: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean), F.lit(True)).select("token", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, place): the k best positive scores per query (ties by id); repeated query tokens count again."""
+def bm25(docs: DataFrame, queries: DataFrame, k: int, positive: bool = True) -> DataFrame:
+    """(query_id, id, score, place): the k best positive scores per query (ties by id); repeated query tokens count again.
+    positive=False keeps all documents that share a token: in a bank of a few rows no idf is above zero."""
     posted = postings(docs)
     mean = posted.select("id", "dl").distinct().agg(F.avg("dl").alias("mean_dl"))
     asked = queries.select("query_id", F.explode(text.tokens(F.col("body"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
     # weights join the queries' tokens first: few rows, so postings meet only tokens that are asked
     weighted = asked.join(weights(posted), "token")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl")))
-    scored = posted.join(weighted, "token").join(F.broadcast(mean), F.lit(True)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    scored = posted.join(weighted, "token").join(F.broadcast(mean), F.lit(True)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = scored.where("score > 0") if positive else scored
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
 

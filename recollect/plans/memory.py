@@ -85,7 +85,7 @@ class Memory:
         when = dates.parsed(F.lit(as_of)) if as_of else F.lit(None).cast("timestamp_ntz")
         live = self.facts().where(validity.active(when, F.col("ts"), F.col("superseded_by"), F.col("valid_to"), history))
         asked = self.spark.createDataFrame([(0, question)], "query_id int, body string")
-        hits = lexical.bm25(live.select(F.col("pos").alias("id"), F.col("text").alias("body")), asked, top_k)
+        hits = lexical.bm25(live.select(F.col("pos").alias("id"), F.col("text").alias("body")), asked, top_k, positive=False)
         state: Column = validity.status(when, F.col("ts"), F.col("superseded_by"), F.col("valid_to"))
         out = live.join(hits.select(F.col("id").alias("pos"), "score", "place"), "pos")
         return out.select("fact_id", "text", "ts", "source_ref", "score", "place", state.alias("status")).orderBy(F.col("ts").asc_nulls_first(), "place")
