@@ -63,3 +63,15 @@ def question_range(text: Column) -> Column:
         .when(by_month.isNotNull(), span(by_month, F.add_months(by_month, 1)))
         .when(by_year.isNotNull(), span(by_year, F.add_months(by_year, 12)))
     )
+
+
+def spoken(text: Column) -> Column:
+    """``1:05 pm on 3 May, 2023``."""
+    return F.try_to_timestamp(
+        F.concat(F.upper(F.regexp_extract(text, r"^\s*(\d+:\d+ [apAP][mM]) on ", 1)), F.lit(" "), F.regexp_extract(text, r" on (.*?)\s*$", 1)), F.lit("h:mm a d MMMM, yyyy")
+    ).cast("timestamp_ntz")
+
+
+def anchor(text: Column) -> Column:
+    """``March-15-2024``."""
+    return F.try_to_timestamp(F.trim(text), F.lit("MMMM-d-yyyy")).cast("timestamp_ntz")
