@@ -20,4 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": licenses.query,
     "op10_sentencepiece": pieces.query,
 }
-SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op4_line_dedup": line_dedup.SQL, "op9_license_scan": licenses.sql()}
+SQL: dict[str, str] = {
+    "op2_suffix_array_dedup": repeats.SQL,
+    "op3_chat_formatting": chat.SQL,
+    "op4_line_dedup": line_dedup.SQL,
+    "op6_quality_rules": quality.sql(),
+    "op7_ngram_jaccard_join": chosen_path.SQL,
+    "op9_license_scan": licenses.sql(),
+}

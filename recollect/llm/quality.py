@@ -102,7 +102,7 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
         p + "n_repeat_words": repeated(c("words")).cast("long"),
         p + "n_stop": F.size(F.filter(c("words"), lambda w: w.isin(STOP_FORMS))),
         p + "n_short_lines": F.size(F.filter(c("lines"), lambda x: F.length(x) < 15)),
-        p + "n_bullets": F.size(F.filter(c("lines"), lambda x: x.rlike(r"^\s*[-*•]"))),
+        p + "n_bullets": F.size(F.filter(c("lines"), lambda x: x.rlike(r"^[ \t\n\x0B\f\r]*[-*•]"))),
     })
     per = lambda a, b: c(a) / F.greatest(c(b), F.lit(1))
     ratios = {
@@ -137,3 +137,27 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The same report in DuckDB, from the same table of thresholds."""
+    per = lambda a, b: f"{a} / greatest({b}, 1)"
+    ratios = {
+        "mean_word_chars": per("word_chars", "n_words"), "symbol_ratio": per("n_symbols", "n_words"), "stop_ratio": per("n_stop", "n_words"),
+        "dup_line_ratio": per("n_dup_lines", "n_lines"), "short_line_ratio": per("n_short", "n_lines"), "bullet_line_ratio": per("n_bullets", "n_lines"),
+    }
+    tests = [f"{ratios[r.measure]} >= {r.low}" for r in rules if r.low is not None] + [f"{ratios[r.measure]} <= {r.high}" for r in rules if r.high is not None]
+    stops = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_FORMS) + "]"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+tri AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM tri) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(list_filter(ws, lambda w: list_contains({stops}, w))) AS n_stop,
+  len(list_filter(ls, lambda l: length(l) < 15)) AS n_short, len(list_filter(ls, lambda l: regexp_matches(l, '^[ \\t\\n\\x0B\\f\\r]*[-*•]'))) AS n_bullets FROM d),
+f AS (SELECT m.*, coalesce(rep.n, 0) AS n_repeat_words FROM m LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(tests)} AS kept FROM b
+"""

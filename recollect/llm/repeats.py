@@ -402,3 +402,21 @@ def apply(docs: DataFrame, **options: int) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The contract by counting every 200-byte string (as hexadecimal digits).
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+often AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM s WHERE k IN (SELECT k FROM often)),
+cut AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM cut),
+span AS (SELECT doc_id, g, min(i) AS a, max(i) + 200 AS b FROM run GROUP BY doc_id, g),
+gap AS (SELECT d.doc_id, coalesce(lag(span.b) OVER w, 0) AS a, span.a AS b, d.h FROM d JOIN span USING (doc_id) WINDOW w AS (PARTITION BY d.doc_id ORDER BY span.a)
+  UNION ALL SELECT d.doc_id, coalesce(max(span.b), 0), length(any_value(d.h)) // 2, any_value(d.h) FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a) AS h FROM gap GROUP BY doc_id),
+t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed, coalesce(t.n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
