@@ -268,8 +268,9 @@ def _hot_starts(parts: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[batch.column(x).take(pick) for x in range(3)], pa.array(a.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["h", "c", "k", "a", "one", "two"])
 
     rows = parts.select("h", "c", "k", "body").mapInArrow(strings, "h long, c long, k long, a int, one long, two long")
-    often = rows.groupBy("h", "one", "two").agg(F.sum("k").alias("n")).where("n > 1").select("h", "one", "two")
-    return rows.join(often, ["h", "one", "two"]).select("h", "c", "a", (F.col("a") + 1).alias("b")).distinct()
+    # a repeated row has brought its contexts twice, but then k is over 1 anyway
+    often = rows.groupBy("one", "two").agg(F.sum("k").alias("n")).where("n > 1").select("one", "two")
+    return rows.join(often, ["one", "two"]).select("h", "c", "a", (F.col("a") + 1).alias("b"))
 
 
 def spans(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_CONTEXTS, shard_bytes: int = SHARD_BYTES, bound: int = 1 << 22) -> DataFrame:
@@ -330,7 +331,8 @@ def spans(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_C
     bodies = fetched.mapInArrow(cut, "h long, c long, k long, body binary")
     plain, starts = bodies, None
     if (sizes["most"] or 0) > hot:
-        heavy = per_anchor.where(F.col("m") > hot).select("h")
+        # at most one anchor in `hot` contexts is heavy, so this side stays small: a few bytes for megabytes of contexts
+        heavy = F.broadcast(per_anchor.where(F.col("m") > hot).select("h"))
         starts = _hot_starts(bodies.join(heavy, "h", "left_semi"), size)
         plain = bodies.join(heavy, "h", "left_anti")
 
