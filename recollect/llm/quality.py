@@ -40,7 +40,7 @@ class Rule:
 RULES = (
     Rule("mean_word_chars", 2.0, 12.0),
     Rule("symbol_ratio", None, 0.1),
-    Rule("stop_ratio", 0.01, None),
+    Rule("stop_ratio", 0.005, None),
     Rule("dup_line_ratio", None, 0.5),
     Rule("short_line_ratio", None, 0.9),
     Rule("bullet_line_ratio", None, 0.9),
