@@ -16,6 +16,7 @@ UPDATE_CUES = (
     "switched", "updated", "update", "moved", "new ", "latest", "as of",
 )
 COUNT_CUES = ("how many", "how much", "count", "number of", "list all", "list the", "all the", "total", "in total", "every", "each of")
+# Words of dates, and patterns of questions for advice, for changes, about earlier replies, for a broad view.
 DATE_WORD = r"^(19|20)[0-9]{2}$|^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(uary|ruary|ch|il|e|y|ust|tember|ober|ember)?$"
 ADVICE = (
     r"(?i)\b(recommend\w*|suggest\w*|propose)\b|what should i|what would you (recommend|suggest|do)"
@@ -30,6 +31,7 @@ CHANGES = (
 )
 RECALL = r"(?i)\byou (provided|gave|created|generated|suggested|recommended|told|said|wrote|listed|shared|mentioned|helped)|our (previous |last |earlier )?(conversation|discussion|chat)|we (discussed|talked)"
 BROAD = r"(?is)\b(summar\w*|recap|overview|comprehensive|walk me through|how (has|have) .{0,60}?(progress|evolv|chang|develop)|(progression|evolution|journey) of)\b"
+# Ability labels and the class of question they stand for.
 ABILITIES = {
     "temporal": "temporal", "temporal_reasoning": "temporal", "knowledge_update": "knowledge_update",
     "multi_session": "aggregation", "info_extraction": "general", "abstention": "general",

@@ -8,23 +8,15 @@ from pyspark.sql import functions as F
 
 from recollect.plans import base
 from recollect.plans.base import SQL_FACTS
+from recollect.plans.shared import shared_root
 from recollect.queries.registry import query
 from recollect.streaming import ingest
 
 
-def shared_folder(spark) -> str:  # noqa: ANN001
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp()
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("st_ingest", SQL_FACTS + " SELECT fact_id, kind, min(pos) AS pos FROM (SELECT * FROM verbatim_rows UNION ALL SELECT * FROM atomic_rows) GROUP BY fact_id, kind")
 def st_ingest(spark, sf):
     """The stored turns as a stream of files into a bank; the bank equals one batch over all."""
-    folder = shared_folder(spark)
+    folder = f"{shared_root(spark)}/{uuid.uuid4().hex}"
     ingest.ingest(spark, f"{sf}/conversations.parquet*", f"{folder}/bank", f"{folder}/log").awaitTermination()
     return spark.read.parquet(f"{folder}/bank").select("fact_id", "kind", "pos")
 
