@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from recollect.llm.components import components
 from recollect.llm.minhash import PERMUTATIONS, minima
 from recollect.llm.textnum import mix, shingles_of, slices
+from recollect.plans.shared import cut
 
 THRESHOLD = 0.8
 DEPTH, RECALL = 3, 0.99999
@@ -171,7 +172,7 @@ def candidate_links(nodes: DataFrame, sigs: DataFrame, small: int = SMALL, depth
     first. Signatures join only the rows of crowded buckets."""
     found = []
     while True:
-        sized = crowded(nodes).checkpoint()
+        sized = cut(crowded(nodes))
         last = depth >= deepest
         little = (sized if last else sized.where(F.col("m") <= small)).join(sigs, "id").select("node", "id", "sig", "m")
         dealt = _giants(little, small) if last else little.select("node", "id", "sig").repartition("node").sortWithinPartitions("node", "id")
@@ -282,18 +283,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, keys: Callable[[np.nd
     """(i, t, label, class_id, n_links) for each row: i its doc_id (null: the lowest long), t its text's hash."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("i"), F.xxhash64(text).alias("t"), text.alias("text"))
-    profiles = _profiles(keyed, keys).checkpoint()
+    profiles = cut(_profiles(keyed, keys))
     members = profiles.select("i", "t", "s1", "n")
     sigs = profiles.where("n > 0").groupBy(F.col("s1").alias("id")).agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     nodes = sigs.select(F.explode("keys").alias("node"), "id")
     links = candidate_links(nodes, sigs.select("id", "sig"), small)
-    groups = components(links).withColumnRenamed("node", "set").withColumnRenamed("label", "grp").checkpoint()
+    groups = cut(components(links).withColumnRenamed("node", "set").withColumnRenamed("label", "grp"))
     sets = members.where("n > 0").groupBy(F.col("s1").alias("set")).agg(F.min("i").alias("i"), F.count("*").alias("copies"))
 
     counts = groups.groupBy("grp").agg(F.count("*").alias("size"))
     wide = groups.join(counts, "grp").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     wide = wide.join(sets, "set").select("set", "i", "grp", "copies", "blocks", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int").alias("block"))
-    return _verify(keyed, members, wide.checkpoint(), threshold)
+    return _verify(keyed, members, cut(wide), threshold)
 
 
 def _verify(keyed: DataFrame, members: DataFrame, wide: DataFrame, threshold: float) -> DataFrame:
@@ -313,7 +314,7 @@ def _verify(keyed: DataFrame, members: DataFrame, wide: DataFrame, threshold: fl
     sets = texts.mapInArrow(fetch, "set long, shingles binary")
     dealt = sets.join(wide.drop("i"), "set").select("grp", "set", "block", "copies", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = dealt.select("grp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("set").alias("id"), "block", "copies", "shingles")
-    results = pairs.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id").mapInArrow(verified(threshold), "id long, links long, root long").checkpoint()
+    results = cut(pairs.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id").mapInArrow(verified(threshold), "id long, links long, root long"))
     own = results.groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(results.select(F.col("id").alias("a"), F.col("root").alias("b")))
     per_set = members.where("n > 0").groupBy("s1").agg(F.min("i").alias("least"), F.count("*").alias("copies"))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm.textnum import mix, small_batches
+from recollect.plans.shared import cut
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -167,7 +168,7 @@ def shard_of(low, shards: int):  # noqa: ANN001, ANN201
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with `_kept` (text without dropped lines; null texts stay null if nothing was there), `_n_lines`, `_n_dropped`."""
     spark = docs.sparkSession
-    frequent = frequent_lines(docs, min_chars, min_docs).checkpoint()
+    frequent = cut(frequent_lines(docs, min_chars, min_docs))
     n = frequent.count()
     shards = max(1, -(-n // SHARD_KEYS))
     index = build_index(frequent, shards)

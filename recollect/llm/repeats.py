@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm.textnum import BASE, BASE_INVERSE, give_back, mix, powers, slices, small_batches
+from recollect.plans.shared import cut
 
 SIZE, GRAM = 200, 50
 SHARD_BYTES = 1 << 20
@@ -285,7 +286,7 @@ def spans(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_C
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(all_contexts(batch.column(0), size, gram)[0].view(np.int64))], ["h"])
 
-    repeated = texts.select("text").mapInArrow(anchors, "h long").groupBy("h").count().where("count > 1").select("h").checkpoint()
+    repeated = cut(texts.select("text").mapInArrow(anchors, "h long").groupBy("h").count().where("count > 1").select("h"))
     n = repeated.count()
     known = None
     if n <= bound:
@@ -304,8 +305,8 @@ def spans(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_C
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(s.astype(np.int32)), pa.array(count.astype(np.int32))], ["h", "c", "i", "t", "s", "n"])
 
     found = texts.mapInArrow(places, "h long, c long, i long, t long, s int, n int")
-    found = (found if known is not None else found.join(repeated, "h", "left_semi")).checkpoint()
-    classes = found.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(F.struct("i", "t", "s", "n")).alias("at")).checkpoint()
+    found = cut((found if known is not None else found.join(repeated, "h", "left_semi")))
+    classes = cut(found.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(F.struct("i", "t", "s", "n")).alias("at")))
     per_anchor = classes.groupBy("h").agg(F.count("*").alias("m"), F.sum(F.col("at.n") + size).alias("bytes"))
     sizes = per_anchor.agg(F.sum("bytes").alias("bytes"), F.max("m").alias("most")).head()
     shards = max(1, -(-int(sizes["bytes"] or 0) // shard_bytes))
@@ -316,7 +317,7 @@ def spans(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_C
     fetched = keyed.join(wanted, ["_i", "_t"]).select(*keyed.columns, "_rows")
     text_at = keyed.columns.index("text")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slice_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text_at):
             h, c, k, body = [], [], [], []
             for text, rows in zip(batch.column(text_at).to_pylist(), batch.column(len(batch.schema.names) - 1).to_pylist(), strict=True):
@@ -328,7 +329,7 @@ def spans(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_C
                     body.append(whole[r["s"] : r["s"] + r["n"] - 1 + size])
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.int64()), pa.array(body, pa.binary())], ["h", "c", "k", "body"])
 
-    bodies = fetched.mapInArrow(cut, "h long, c long, k long, body binary")
+    bodies = fetched.mapInArrow(slice_bodies, "h long, c long, k long, body binary")
     plain, starts = bodies, None
     if (sizes["most"] or 0) > hot:
         # at most one anchor in `hot` contexts is heavy, so this side stays small: a few bytes for megabytes of contexts

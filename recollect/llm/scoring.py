@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm.textnum import LOWER, mix, slices, span_hashes, word_spans
+from recollect.plans.shared import cut
 
 TOP, CLASSES, WIDTH = 512, 64, 24
 NOISE, BATCH, RATE = 64, 2048, 0.05
@@ -252,7 +253,7 @@ def scored(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     spark = docs.sparkSession
     rows = keyed(docs)
     train = rows.where(~F.col("held_out"))
-    counts = token_counts(train).checkpoint()
+    counts = cut(token_counts(train))
     top = counts.orderBy(F.desc("c"), "h").limit(TOP).collect()
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).head()
     least = (top[-1]["c"], top[-1]["h"]) if top else (0, 0)
