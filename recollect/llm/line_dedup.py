@@ -178,10 +178,6 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     return _by_broadcast(docs, spark.sparkContext.broadcast(blobs), shards, min_chars)
 
 
-def _schema(docs: DataFrame) -> str:
-    return "_id long, _kept string, _n_lines long, _n_dropped long"
-
-
 def _with_result(docs: DataFrame, mapper) -> DataFrame:  # noqa: ANN001
     """docs' columns plus the result's, by a mapper that gets and returns batches with docs' columns first."""
     from pyspark.sql import types as T
