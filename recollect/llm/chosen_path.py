@@ -37,6 +37,9 @@ THRESHOLD = 0.8
 DEPTH, RECALL = 3, 0.99999
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD**DEPTH))
 SMALL, DEEPEST = 128, 7
+#: Ways in which a crowded bucket is split at each level: with two tokens a way, a pair at the threshold that every run's
+#: bucket crowds is still found with RECALL (see recall_of).
+WAYS = (4, 2)
 BLOCK = 256
 #: Least share of equal signature components at which two sets of a bucket stay candidates: five standard deviations under 0.8.
 SURE = 0.8 - 5 * math.sqrt(0.8 * 0.2 / PERMUTATIONS)
@@ -50,6 +53,14 @@ def child(nodes: np.ndarray, sig: np.ndarray, way: int = 0) -> np.ndarray:
     return mix(drawn ^ (sig[np.arange(len(sig)), column].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
+def recall_of(ways: tuple[int, ...], runs: int = RUNS, j: float = THRESHOLD) -> float:
+    """The probability that a pair which shares j of its components meets in some run though all its buckets are crowded."""
+    kept = 1.0
+    for n in reversed(ways):
+        kept = 1 - (1 - j * j * kept) ** n
+    return 1 - (1 - j**DEPTH * kept) ** runs
+
+
 def path_keys(sig: np.ndarray, runs: int = RUNS, depth: int = DEPTH) -> np.ndarray:
     """int64 (len(sig), runs): each run's node at `depth`."""
     out = np.empty((len(sig), runs), np.uint64)
@@ -160,27 +171,29 @@ def _bucket_links(small: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def crowded(nodes: DataFrame) -> DataFrame:
-    """(node, id, m) of the buckets of m > 1 sets, one bucket of each content: runs find the same groups again and again."""
+def crowded(nodes: DataFrame, small: int | None = None) -> DataFrame:
+    """(node, id, m) of the buckets of m > 1 sets. Of those that are compared at once (up to `small` sets; None: all) one of
+    each content, as runs find the same groups again and again; larger ones are each run's own trial and all stay."""
     sizes = nodes.groupBy("node").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("content")).where("m > 1")
-    once = sizes.groupBy("m", "content").agg(F.min("node").alias("node")).select("node", "m")
+    own = [] if small is None else [F.when(F.col("m") > small, F.col("node")).alias("own")]
+    once = sizes.groupBy("m", "content", *own).agg(F.min("node").alias("node")).select("node", "m")
     return nodes.join(once, "node")
 
 
 def candidate_links(nodes: DataFrame, sigs: DataFrame, small: int = SMALL, depth: int = DEPTH, deepest: int = DEEPEST) -> DataFrame:
     """(a, b) links of candidates, from (node, id) and (id, sig): buckets over `small` are split on further sampled tokens
     first. Signatures join only the rows of crowded buckets."""
-    found = []
+    found, level = [], 0
     while True:
-        sized = cut(crowded(nodes))
         last = depth >= deepest
+        sized = cut(crowded(nodes, None if last else small))
         little = (sized if last else sized.where(F.col("m") <= small)).join(sigs, "id").select("node", "id", "sig", "m")
         dealt = _giants(little, small) if last else little.select("node", "id", "sig").repartition("node").sortWithinPartitions("node", "id")
         found.append(dealt.mapInArrow(_bucket_links(small), "a long, b long"))
         if last or not sized.where(F.col("m") > small).limit(1).count():
             break
 
-        def split(batches: Iterator[pa.RecordBatch], ways: int = 2 if depth == DEPTH else 1) -> Iterator[pa.RecordBatch]:
+        def split(batches: Iterator[pa.RecordBatch], ways: int = WAYS[min(level, len(WAYS) - 1)]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 node = batch.column(0).to_numpy().view(np.uint64)
                 sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(len(node), -1) if len(node) else np.zeros((0, PERMUTATIONS), np.uint16)
@@ -188,10 +201,10 @@ def candidate_links(nodes: DataFrame, sigs: DataFrame, small: int = SMALL, depth
                     below = child(child(node, sig, way), sig)
                     yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), batch.column(1)], ["node", "id"])
 
-        # two more tokens a level, the first time in two ways, as a pair at the threshold is lost on a token in a fifth of
-        # cases: of 17 runs, one at least keeps it together in 0.997 of cases, and groups also meet over third sets
+        # two more tokens a level, in WAYS, as a pair at the threshold is lost on a token in a fifth of cases; every run's
+        # bucket is split by itself, so the runs stay independent trials
         nodes = sized.where(F.col("m") > small).join(sigs, "id").select("node", "id", "sig").mapInArrow(split, "node long, id long")
-        depth += 2
+        depth, level = depth + 2, level + 1
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

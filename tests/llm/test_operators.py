@@ -310,6 +310,20 @@ def test_links_of_chains_and_empty(spark, docs, empty):
     assert len(kept) == len({(r["class_id"], r["n_links"] == 0 and r["doc_id"]) for r in classes})
 
 
+def test_outliers_of_crowded_groups(spark):
+    r = np.random.default_rng(3)
+    groups, copies = 16, chosen_path.SMALL + 12
+    sigs = np.repeat(r.integers(0, 1 << 16, (groups, minhash.PERMUTATIONS)), copies + 1, axis=0).astype(np.uint16)
+    for g in range(groups):  # long near copies have equal signatures; the last set of each group is at 0.8 from them
+        sigs[g * (copies + 1) + copies, r.permutation(minhash.PERMUTATIONS)[:25]] += 1
+    keys = chosen_path.path_keys(sigs)
+    nodes = spark.createDataFrame([(int(k), i) for i, row in enumerate(keys) for k in row], "node long, id long")
+    links = chosen_path.candidate_links(nodes, spark.createDataFrame([(i, row.tobytes()) for i, row in enumerate(sigs)], "id long, sig binary"))
+    got = {x["node"]: x["label"] for x in components(links).collect()}
+    assert [got.get(i) for i in range(len(sigs))] == [i // (copies + 1) * (copies + 1) for i in range(len(sigs))]
+    assert chosen_path.recall_of(chosen_path.WAYS) >= chosen_path.RECALL > chosen_path.recall_of((2, 1))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
