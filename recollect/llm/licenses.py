@@ -1,7 +1,8 @@
 """Licence scans by sentence-rule recognition, with DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, blanks joined, no closing punctuation, no
-comment signs at its line's start) and looked up among known licence sentences; the sequence of identifiers found is
+A text is normalised (lower case, blanks joined, no comment signs at a line's start) and the known licence sentences are found
+in it, in order, each from one sentence boundary to another: a line's end or closing punctuation before a blank, which a known
+sentence may also hold inside. The sequence of identifiers found is
 matched against ordered rules, the longest and most specific first. A rule takes its identifiers out of the sequence, so a
 general rule doesn't fire on what a specific one has explained; what no rule explains is reported as partial.
 
@@ -13,6 +14,8 @@ result; only doc_id and text are read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,19 +89,21 @@ RULES = (
     ("MIT", ("MIT-title",)),
 )
 
-HINT = r"(?i)licen[cs]e|copyright|permi(ssion|tted)|warrant|redistribut|free software|unencumbered|all rights"
+HINT = r"(?i)licen[cs]e|copyright|permi(ssion|tted)|warrant|redistribut|free software|unencumbered|all rights|mozilla\.org"
+
+
+#: Any known sentence between two boundaries, the longest first.
+KNOWN = r"(?<=\A|\n|[.;!?][ \n])(?:" + "|".join(" ".join(map(re.escape, s.split(" "))) for s in sorted(SENTENCES, key=len, reverse=True)) + r")(?=[.;!?]*(?:\n|\z)|[.;!?]+ )"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences, in order."""
+def normalised(text: Column) -> Column:
     flat = F.regexp_replace(F.regexp_replace(text, r"\r", ""), r"\n[ \t]*(#|//|\*|--)*[ \t]*", "\n")
-    cut = F.split(F.regexp_replace(flat, r"[.;!?]+[ \t]+|[.;!?]+\n", "\n"), "\n")
-    return F.transform(cut, lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), r"[ \t]+", " ")), r"[.;!?]+$", ""))
+    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(flat)), r"[ \t]+", " "), " \n", "\n")
 
 
 def identifiers(text: Column) -> Column:
     known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    return F.filter(F.transform(sentences(text), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    return F.transform(F.regexp_extract_all(normalised(text), F.lit(KNOWN), F.lit(0)), lambda s: F.element_at(known, s))
 
 
 def scanned(docs: DataFrame) -> DataFrame:

@@ -379,6 +379,15 @@ def test_licenses(spark, docs, empty):
     assert licenses.scanned(docs).count() == len(TEXTS) + 2 and licenses.scanned(empty).count() == 0
 
 
+def test_every_sentence_and_rule_fires(spark):
+    known = list(licenses.SENTENCES.items())
+    text_of = {i: s for s, i in known}
+    rows = [(k, f"Intro. {s}.\nmore") for k, (s, _) in enumerate(known)] + [(100 + k, "\n".join(text_of[i] + "." for i in seq)) for k, (_, seq) in enumerate(licenses.RULES)]
+    got = {r["doc_id"]: r for r in rows_of(licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert [got[k]["sequence"] for k in range(len(known))] == [i for _, i in known]
+    assert [(got[100 + k]["licenses"], got[100 + k]["partial"]) for k in range(len(licenses.RULES))] == [(name, False) for name, _ in licenses.RULES]
+
+
 # -- 10: pieces
 
 
