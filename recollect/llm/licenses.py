@@ -2,7 +2,7 @@
 
 A text is normalised (lower case, blanks joined, no comment signs at a line's start) and the known licence sentences are found
 in it, in order, each from one sentence boundary to another: a line's end or closing punctuation before a blank, which a known
-sentence may also hold inside. The sequence of identifiers found is
+sentence may also hold inside. A known sentence may be wrapped at single line breaks; blank lines and list marks end it. The sequence of identifiers found is
 matched against ordered rules, the longest and most specific first. A rule takes its identifiers out of the sequence, so a
 general rule doesn't fire on what a specific one has explained; what no rule explains is reported as partial.
 
@@ -89,21 +89,23 @@ RULES = (
     ("MIT", ("MIT-title",)),
 )
 
-HINT = r"(?i)licen[cs]e|copyright|permi(ssion|tted)|warrant|redistribut|free software|unencumbered|all rights|mozilla\.org"
+HINT = r"(?i)licen[cs]e|copyright|permi(ssion|tted)|warrant|redistribut|free[\s#/*-]+software|unencumbered|all[\s#/*-]+rights|mozilla\.org"
 
 
 #: Any known sentence between two boundaries, the longest first.
-KNOWN = r"(?<=\A|\n|[.;!?][ \n])(?:" + "|".join(" ".join(map(re.escape, s.split(" "))) for s in sorted(SENTENCES, key=len, reverse=True)) + r")(?=[.;!?]*(?:\n|\z)|[.;!?]+ )"
+KNOWN = r"(?<=\A|\n|[.;!?][ \n])(?:" + "|".join("[ \\n]".join(map(re.escape, s.split(" "))) for s in sorted(SENTENCES, key=len, reverse=True)) + r")(?=[.;!?]*(?:\n|\z)|[.;!?]+ )"
 
 
 def normalised(text: Column) -> Column:
-    flat = F.regexp_replace(F.regexp_replace(text, r"\r", ""), r"\n[ \t]*(#|//|\*|--)*[ \t]*", "\n")
-    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(flat)), r"[ \t]+", " "), " \n", "\n")
+    """Lines without comment signs; a blank line before each list item."""
+    flat = F.regexp_replace(F.regexp_replace(F.concat(F.lit("\n"), text), r"\r", ""), r"\n[ \t]*(#|//|/\*|\*/|\*|--)*[ \t]*", "\n")
+    lines = F.regexp_replace(F.regexp_replace(F.trim(F.lower(flat)), r"[ \t]+", " "), r" ?\n", "\n")
+    return F.regexp_replace(lines, r"\n(?:[-•]|\(?[0-9a-z]{1,2}\)) ", "\n\n")
 
 
 def identifiers(text: Column) -> Column:
     known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    return F.transform(F.regexp_extract_all(normalised(text), F.lit(KNOWN), F.lit(0)), lambda s: F.element_at(known, s))
+    return F.transform(F.regexp_extract_all(normalised(text), F.lit(KNOWN), F.lit(0)), lambda s: F.element_at(known, F.replace(s, F.lit("\n"), F.lit(" "))))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    """The same in DuckDB: one step of a chain of subqueries per rule."""
+    """The same in DuckDB where known sentences stand on one line and hold no closing punctuation: one step of a chain of subqueries per rule."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     known = "map([" + ", ".join(map(q, SENTENCES)) + "], [" + ", ".join(map(q, SENTENCES.values())) + "])"
     steps = """

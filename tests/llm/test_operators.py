@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -388,6 +389,21 @@ def test_every_sentence_and_rule_fires(spark):
     assert [(got[100 + k]["licenses"], got[100 + k]["partial"]) for k in range(len(licenses.RULES))] == [(name, False) for name, _ in licenses.RULES]
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_licences(spark, mark):
+    text_of = {i: s for s, i in licenses.SENTENCES.items()}
+    rows = []
+    for k, (_, seq) in enumerate(licenses.RULES):
+        wrapped = [textwrap.wrap(("- " if i in ("BSD-source", "BSD-binary") else "") + text_of[i] + ("" if text_of[i][-1] == ":" else "."), 38) for i in seq]
+        rows.append((k, "\n".join(mark + line for sentence in wrapped for line in [*sentence, ""])))
+    rows.append((99, "MIT License\nReleased under the MIT\n\nLicense.\nall\nrights reserved"))
+    rows.append((98, "Licensed under the GNU General Public License, version\n3. " + text_of["BSD-grant"] + "\n1. " + text_of["BSD-source"] + ".\n(b) " + text_of["BSD-binary"]))
+    got = {r["doc_id"]: r for r in rows_of(licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert [(got[k]["licenses"], got[k]["partial"]) for k in range(len(licenses.RULES))] == [(name, False) for name, _ in licenses.RULES]
+    assert got[98]["licenses"] == "BSD-2-Clause,GPL-3.0-only"
+    assert got[99]["sequence"] == "MIT-title|Reserved"
+
+
 # -- 10: pieces
 
 
