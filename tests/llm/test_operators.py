@@ -174,6 +174,18 @@ def test_chat(spark):
     assert chat.read_back(chat.formatted_turns(data.limit(0))).count() == 0
 
 
+def test_chat_loss_comes_from_under_the_masks(spark, monkeypatch):
+    texts = [("user", "ask \\ <b> é🙂 " * 700), ("assistant", "first [x] 🙂" * 900), ("user", "more"), ("assistant", "second")]
+    turns = chat.formatted_turns(spark.createDataFrame([(1, k, *t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string"))
+    read = lambda: chat.read_back(turns).head()["loss_sha256"]
+    assert read() == sha(texts[1][1] + texts[3][1])
+    given = chat.examples
+    monkeypatch.setattr(chat, "examples", lambda t: given(t).where("n <> 4"))  # a lost example
+    assert read() == sha(texts[1][1])
+    monkeypatch.setattr(chat, "examples", lambda t: given(t).where("n = 4").withColumn("context_chars", given(t)["context_chars"] - 1))  # a wrong mask
+    assert read() == sha("]secon")
+
+
 # -- 4: lines
 
 
