@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.llm.columns import sieved, unused
 from recollect.llm.components import components
 from recollect.llm.minhash import PERMUTATIONS, minima
 from recollect.llm.textnum import mix, shingles_of, slices
@@ -142,55 +143,74 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _bucket_links(small: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links of each set to the least one of its likely group in a bucket (node, id, sig)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for group in streamed_groups(batches):
-            ids = group.column(1).to_numpy()
-            if len(ids) < 2:
-                continue
-            if len(ids) > small:  # what no sampled token has separated is one group of candidates
-                a.append(ids), b.append(np.full(len(ids), ids.min()))
-                continue
-            sig = np.frombuffer(b"".join(group.column(2).to_pylist()), np.uint16).reshape(len(ids), -1)
-            ids, first = np.unique(ids, return_index=True)
-            sig = sig[first]
-            same = np.array([(sig == row).mean(axis=1) for row in sig]) >= SURE
-            x, y = np.nonzero(np.triu(same, 1))
-            root = roots(len(ids), x, y)
-            moved = root != np.arange(len(ids))
-            a.append(ids[moved]), b.append(ids[root[moved]])
-            if sum(map(len, a)) > 1 << 14:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).astype(np.int64)), pa.array(np.concatenate(b).astype(np.int64))], ["a", "b"])
-
-    return run
-
-
-def crowded(nodes: DataFrame, small: int | None = None) -> DataFrame:
-    """(node, id, m) of the buckets of m > 1 sets. Of those that are compared at once (up to `small` sets; None: all) one of
-    each content, as runs find the same groups again and again; larger ones are each run's own trial and all stay."""
-    sizes = nodes.groupBy("node").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("content")).where("m > 1")
-    own = [] if small is None else [F.when(F.col("m") > small, F.col("node")).alias("own")]
-    once = sizes.groupBy("m", "content", *own).agg(F.min("node").alias("node")).select("node", "m")
-    return nodes.join(once, "node")
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each set to the least one of its likely group in a bucket. Batches: (node, id, sig) sorted by node; buckets
+    of a bounded number of sets, many of which are compared at once."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        node = batch.column(0).to_numpy()
+        if size >= 1 << 13 and node[0] != last:
+            yield _compared(held)
+            held, size = [], 0
+        head = int(np.searchsorted(node, node[-1])) if size + len(batch) >= 1 << 13 else 0
+        if head:  # all but the last bucket, which may go on
+            yield _compared([*held, batch.slice(0, head)])
+            held, size, batch = [], 0, batch.slice(head)
+        held.append(batch)
+        size, last = size + len(batch), node[-1]
+    if held:
+        yield _compared(held)
+
+
+def _compared(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(a, b) for whole buckets."""
+    node, ids = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in (0, 1))
+    sig = np.frombuffer(b"".join(v for x in held for v in x.column(2).to_pylist()), np.uint16).reshape(len(ids), -1)
+    at = np.arange(len(ids))
+    ends = np.append(np.flatnonzero(node[1:] != node[:-1]) + 1, len(ids))
+    left = ends[np.searchsorted(ends, at, "right")] - at - 1  # sets after this one in its bucket
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = 1 + (1 << 15) // max(1, int(left.max(initial=0)))
+    for low in range(0, len(ids), step):
+        x = np.repeat(at[low : low + step], left[low : low + step])
+        first = np.repeat(np.cumsum(left[low : low + step]) - left[low : low + step], left[low : low + step])
+        y = x + 1 + np.arange(len(x)) - first
+        same = (sig[x] == sig[y]).mean(axis=1) >= SURE
+        a.append(x[same]), b.append(y[same])
+    root = roots(len(ids), np.concatenate(a), np.concatenate(b))
+    moved = ids[root] != ids
+    links = np.unique(np.stack([ids[moved], ids[root[moved]]], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+
+def crowded(nodes: DataFrame, small: int) -> DataFrame:
+    """(node, id, m) of the buckets of m > 1 sets. Of those that are compared at once (up to `small` sets) one of each
+    content, as runs find the same groups again and again; larger ones are each run's own trial and all stay."""
+    rows = cut(nodes.join(nodes.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "node"))
+    little = rows.where(F.col("m") <= small)
+    contents = little.groupBy("node", "m").agg(F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("content"))
+    once = contents.groupBy("m", "content").agg(F.min("node").alias("node")).select("node")
+    return little.join(once, "node", "left_semi").unionByName(rows.where(F.col("m") > small))
 
 
 def candidate_links(nodes: DataFrame, sigs: DataFrame, small: int = SMALL, depth: int = DEPTH, deepest: int = DEEPEST) -> DataFrame:
     """(a, b) links of candidates, from (node, id) and (id, sig): buckets over `small` are split on further sampled tokens
-    first. Signatures join only the rows of crowded buckets."""
+    first. At the last level a bucket still larger isn't gathered: its sets are linked by its least id. Only the signatures
+    of sets in shared buckets are read again."""
     found, level = [], 0
     while True:
-        last = depth >= deepest
-        sized = cut(crowded(nodes, None if last else small))
-        little = (sized if last else sized.where(F.col("m") <= small)).join(sigs, "id").select("node", "id", "sig", "m")
-        dealt = _giants(little, small) if last else little.select("node", "id", "sig").repartition("node").sortWithinPartitions("node", "id")
-        found.append(dealt.mapInArrow(_bucket_links(small), "a long, b long"))
-        if last or not sized.where(F.col("m") > small).limit(1).count():
+        sized = cut(crowded(nodes, small))
+        if not level:
+            sigs = cut(sigs.join(sized.select("id").distinct(), "id", "left_semi"))
+        little, large = sized.where(F.col("m") <= small).select("node", "id"), sized.where(F.col("m") > small).select("node", "id")
+        found.append(little.join(sigs, "id").select("node", "id", "sig").repartition("node").sortWithinPartitions("node", "id").mapInArrow(_bucket_links, "a long, b long"))
+        if depth >= deepest:
+            least = large.groupBy("node").agg(F.min("id").alias("least"))
+            found.append(large.join(least, "node").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+        if depth >= deepest or not large.limit(1).count():
             break
 
         def split(batches: Iterator[pa.RecordBatch], ways: int = WAYS[min(level, len(WAYS) - 1)]) -> Iterator[pa.RecordBatch]:
@@ -203,77 +223,72 @@ def candidate_links(nodes: DataFrame, sigs: DataFrame, small: int = SMALL, depth
 
         # two more tokens a level, in WAYS, as a pair at the threshold is lost on a token in a fifth of cases; every run's
         # bucket is split by itself, so the runs stay independent trials
-        nodes = sized.where(F.col("m") > small).join(sigs, "id").select("node", "id", "sig").mapInArrow(split, "node long, id long")
+        nodes = cut(large.join(sigs, "id").select("node", "id", "sig").mapInArrow(split, "node long, id long"))
         depth, level = depth + 2, level + 1
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out
-
-
-def _giants(sized: DataFrame, small: int) -> DataFrame:
-    """The last level: buckets still large aren't gathered. Their sets are linked by the bucket's least id in plain SQL and
-    come back as buckets of two."""
-    little = sized.where(F.col("m") <= small).select("node", "id", "sig")
-    giants = sized.where(F.col("m") > small)
-    least = giants.groupBy("node").agg(F.min(F.struct("id", "sig")).alias("head"))
-    pairs = giants.join(least, "node").where(F.col("id") != F.col("head.id"))
-    pair = F.xxhash64("node", "id")
-    twos = pairs.select(pair.alias("node"), "id", "sig").unionByName(pairs.select(pair.alias("node"), F.col("head.id").alias("id"), F.col("sig").alias("sig")))
-    return little.unionByName(twos).repartition("node").sortWithinPartitions("node", "id")
+    return out.distinct()
 
 
 def verified(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per pair of blocks (group, x, y; then id, side, copies, shingles): each set's links (weighted by copies) and root."""
+    """Per pair of blocks (group, x, y; then id, block, copies, shingles): each set's links (weighted by copies) and root."""
     limit = Fraction(threshold).limit_denominator(1000)
     p, q = limit.numerator, limit.denominator  # j >= p/q  <=>  (p + q) * both >= p * (|a| + |b|)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in streamed_groups(batches, 3):
-            own = group.column("id").to_numpy()
-            if (own[1:] == own[:-1]).any():  # a repeated row: its set came twice
-                group = group.filter(pa.array(np.concatenate([[True], own[1:] != own[:-1]])))
             ids, block, copies = (group.column(c).to_numpy() for c in ("id", "block", "copies"))
-            if len(ids) < 2:
-                continue
-            bodies = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-            sizes = np.array([len(x) for x in bodies])
-            both = intersections(bodies)
-            linked = (p + q) * both >= p * (sizes[:, None] + sizes[None, :])
-            np.fill_diagonal(linked, False)
             x, y = int(group.column("x")[0].as_py()), int(group.column("y")[0].as_py())
-            if x != y:
-                linked &= block[:, None] != block[None, :]
-            a, b = np.nonzero(np.triu(linked, 1))
-            root = roots(len(ids), a, b)
+            rows = np.arange(len(ids))
+            one, two = (rows, rows) if x == y else (rows[block == x], rows[block == y])
+            if len(ids) < 2 or not len(one) or not len(two):
+                continue
+            bodies = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
+            sizes = np.array([len(s) for s in bodies])
+            linked = (p + q) * intersections(bodies, one, two) >= p * (sizes[one][:, None] + sizes[two][None, :])
+            links = np.zeros(len(ids), np.int64)
+            if x == y:
+                np.fill_diagonal(linked, False)
+            else:
+                links[two] = linked.T @ copies[one]
+            links[one] += linked @ copies[two]
+            a, b = np.nonzero(linked)
+            root = roots(len(ids), one[a], two[b])
             least = np.full(len(ids), np.iinfo(np.int64).max)
             np.minimum.at(least, root, ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked @ copies), pa.array(least[root])], ["id", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(least[root])], ["id", "links", "root"])
 
     return run
 
 
-def intersections(bodies: list[np.ndarray]) -> np.ndarray:
-    """Sizes of pairwise intersections of sorted sets, by products of incidence blocks over the shared elements only."""
-    sizes = [len(b) for b in bodies]
-    out = np.zeros((len(bodies), len(bodies)), np.int64)
-    values, owner = np.concatenate(bodies), np.repeat(np.arange(len(bodies)), sizes)
+def intersections(bodies: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, rows `one` by rows `two`, by products of incidence blocks over the elements
+    that both sides hold (one side: that are held twice)."""
+    own = len(one) == len(bodies)
+    side = np.zeros(len(bodies), bool)
+    side[two] = not own
+    place = np.empty(len(bodies), np.int64)
+    place[two], place[one] = np.arange(len(two)), np.arange(len(one))
+    values, owner = np.concatenate(bodies), np.repeat(np.arange(len(bodies)), [len(b) for b in bodies])
     order = np.argsort(values)
     values, owner = values[order], owner[order]
-    new = np.concatenate([[True], values[1:] != values[:-1]])
-    counts = np.diff(np.append(np.flatnonzero(new), len(values)))
-    shared = np.repeat(counts > 1, counts)
-    number, owner = (np.cumsum(new) - 1)[shared], owner[shared]
-    if not len(owner):
+    heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    counts = np.diff(np.append(heads, len(values)))
+    second = np.add.reduceat(side[owner].astype(np.int64), heads)
+    shared = (counts > 1) if own else (second > 0) & (second < counts)
+    number, owner = np.repeat(np.cumsum(shared) - 1, counts), owner[np.repeat(shared, counts)]
+    number = number[np.repeat(shared, counts)]
+    out = np.zeros((len(one), len(two)), np.int64)
+    if not len(number):
         return out
-    number = np.cumsum(np.concatenate([[0], number[1:] != number[:-1]]))
-    width = max(64, (1 << 21) // len(bodies))
+    width = int(min(max(64, (1 << 21) // len(bodies)), number[-1] + 1))
     cuts = np.searchsorted(number, np.arange(0, number[-1] + width + 1, width))
     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
         if a < b:
-            matrix = np.zeros((len(bodies), width), np.float32)
-            matrix[owner[a:b], number[a:b] - k * width] = 1
-            out += np.rint(matrix @ matrix.T).astype(np.int64)
+            matrix = np.zeros((1 if own else 2, max(len(one), len(two)), width), np.float32)
+            matrix[side[owner[a:b]].astype(np.int64), place[owner[a:b]], number[a:b] - k * width] = 1
+            out += np.rint(matrix[0, : len(one)] @ (matrix[0, : len(one)] if own else matrix[1, : len(two)]).T).astype(np.int64)
     return out
 
 
@@ -286,10 +301,10 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, **options) -> DataFram
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:  # noqa: ANN003
     """docs with its own columns, one row of each class: that of the least doc_id (then text hash)."""
-    chosen = classes(docs, threshold, **options).groupBy("label").agg(F.min(F.struct("i", "t")).alias("c")).select(F.col("c.i").alias("_i"), F.col("c.t").alias("_t"))
-    keyed = docs.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "_t": F.xxhash64(F.coalesce("text", F.lit("")))})
-    joined = keyed.join(chosen, ["_i", "_t"], "left_semi")
-    return joined.dropDuplicates(["_i", "_t"]).select(docs.columns)
+    i, t = unused(docs.columns, "i", "t")
+    chosen = classes(docs, threshold, **options).groupBy("label").agg(F.min(F.struct("i", "t")).alias("c")).select(F.col("c.i").alias(i), F.col("c.t").alias(t))
+    keyed = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), t: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(chosen, [i, t], "left_semi").dropDuplicates([i, t]).select(docs.columns)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, keys: Callable[[np.ndarray], np.ndarray] = path_keys, small: int = SMALL, block: int = BLOCK) -> DataFrame:
@@ -298,34 +313,38 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, keys: Callable[[np.nd
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("i"), F.xxhash64(text).alias("t"), text.alias("text"))
     profiles = cut(_profiles(keyed, keys))
     members = profiles.select("i", "t", "s1", "n")
-    sigs = profiles.where("n > 0").groupBy(F.col("s1").alias("id")).agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    sigs = cut(profiles.where("n > 0").groupBy(F.col("s1").alias("id")).agg(F.first("sig").alias("sig"), F.first("keys").alias("keys")))
     nodes = sigs.select(F.explode("keys").alias("node"), "id")
     links = candidate_links(nodes, sigs.select("id", "sig"), small)
     groups = cut(components(links).withColumnRenamed("node", "set").withColumnRenamed("label", "grp"))
-    sets = members.where("n > 0").groupBy(F.col("s1").alias("set")).agg(F.min("i").alias("i"), F.count("*").alias("copies"))
 
-    counts = groups.groupBy("grp").agg(F.count("*").alias("size"))
-    wide = groups.join(counts, "grp").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    wide = wide.join(sets, "set").select("set", "i", "grp", "copies", "blocks", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int").alias("block"))
+    # a row to read each candidate set from, and its number of copies
+    sets = members.where("n > 0").groupBy(F.col("s1").alias("set")).agg(F.min(F.struct("i", "t")).alias("at"), F.count("*").alias("copies"))
+    counts = groups.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    wide = groups.join(counts, "grp").join(sets, "set").select("set", "at.i", "at.t", "grp", "copies", "blocks", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int").alias("block"))
     return _verify(keyed, members, cut(wide), threshold)
 
 
 def _verify(keyed: DataFrame, members: DataFrame, wide: DataFrame, threshold: float) -> DataFrame:
-    """wide: (set, i, grp, copies, blocks, block): candidate sets and a row to read each from."""
+    """wide: (set, i, t, grp, copies, blocks, block): candidate sets and a row to read each from. Only the texts of these
+    rows are shuffled."""
+    last = len(wide.columns)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in slices(batch.column(1)):
-                hashes, bounds = shingles_of(data, offsets)
-                hashes, bounds, s1 = set_keys(hashes, bounds)
+            for i, j, data, offsets in slices(batch.column(last)):
+                hashes, bounds, s1 = set_keys(*shingles_of(data, offsets))
                 raw = hashes.tobytes()
-                bodies = [raw[8 * a : 8 * b] for a, b in zip(bounds, bounds[1:], strict=False)]
-                right = np.flatnonzero(s1 == batch.column(0).to_numpy()[i:j])  # a row that shares the id with another text is none
-                yield pa.RecordBatch.from_arrays([pa.array(s1[right]), pa.array([bodies[k] for k in right], pa.binary())], ["set", "shingles"])
-
-    texts = keyed.join(wide.select(F.col("i").alias("wi"), F.col("set").alias("s1")), F.col("i") == F.col("wi")).select("s1", "text")
-    sets = texts.mapInArrow(fetch, "set long, shingles binary")
-    dealt = sets.join(wide.drop("i"), "set").select("grp", "set", "block", "copies", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+                right = np.flatnonzero(s1 == batch.column(0).to_numpy()[i:j])
+                bodies = pa.array([raw[8 * bounds[k] : 8 * bounds[k + 1]] for k in right], pa.binary())
+                pick = pa.array(right + i)
+                yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)).take(pick) for c in kept], bodies], [*kept, "shingles"])
+
+    names, kept = wide.columns, ["set", "grp", "copies", "blocks", "block"]
+    near = sieved(keyed, F.xxhash64("i", "t"), wide, F.xxhash64("i", "t")).dropDuplicates(["i", "t"])
+    texts = wide.join(near, ["i", "t"]).select(*names, "text")
+    sets = texts.mapInArrow(fetch, "set long, grp long, copies long, blocks int, block int, shingles binary")
+    dealt = sets.select("grp", "set", "block", "copies", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = dealt.select("grp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("set").alias("id"), "block", "copies", "shingles")
     results = cut(pairs.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id").mapInArrow(verified(threshold), "id long, links long, root long"))
     own = results.groupBy("id").agg(F.sum("links").alias("links"))
@@ -333,8 +352,8 @@ def _verify(keyed: DataFrame, members: DataFrame, wide: DataFrame, threshold: fl
     per_set = members.where("n > 0").groupBy("s1").agg(F.min("i").alias("least"), F.count("*").alias("copies"))
     labelled = per_set.join(own, F.col("s1") == F.col("id"), "left").join(classes, F.col("s1") == F.col("node"), "left")
     labelled = labelled.select("s1", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "s1").alias("label"))
-    names = labelled.groupBy("label").agg(F.min("least").alias("class_id"))
-    table = labelled.join(names, "label").select(F.col("s1").alias("k"), "label", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    names_of = labelled.groupBy("label").agg(F.min("least").alias("class_id"))
+    table = labelled.join(names_of, "label").select(F.col("s1").alias("k"), "label", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     out = members.join(table, (F.col("s1") == F.col("k")) & (F.col("n") > 0), "left")
     return out.select("i", "t", F.coalesce("label", F.xxhash64("i", "t")).alias("label"), F.coalesce("class_id", "i").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from recollect.plans.shared import cut
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each node's component, for the nodes of edges (a, b; longs, any direction).
 
     A round gives each node the least label among itself and its neighbours, then the label of that label. Each round's
     labels are checkpointed, so lineage stays short and lost executors cost a round at most. Nothing is gathered: a hub's
-    neighbours meet in partial minima, and its label reaches them by a join that adaptive execution splits."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    neighbours meet in partial minima, and its label reaches them by a join that adaptive execution splits.
+
+    Defined cases: links to oneself count for nothing; repeated links count once; an empty table gives an empty result;
+    only a and b are read."""
+    once = edges.select("a", "b").where("a <> b").distinct()
+    both = cut(once.union(once.select("b", "a")))
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         jump = step.alias("s").join(step.select(F.col("node").alias("p"), F.col("new").alias("pl")).alias("j"), F.col("s.new") == F.col("j.p"), "left")
@@ -25,4 +29,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = after.select("node", F.col("new").alias("label"))
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -2,7 +2,7 @@
 
 Every function takes whole texts; a batch is cut into slices of bounded bytes between documents, never inside one.
 Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``. Hashes are 64-bit polynomials modulo 2**64 with a
-finaliser, so a word has the same hash wherever it stands.
+finaliser, so a word has the same hash wherever it stands; long words go through xxhash.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
+LONG_SPAN = 256
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 IS_WORD = np.ones(256, bool)
@@ -103,11 +105,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit hashes of data[starts[i]:ends[i]]."""
+    """64-bit hashes of data[starts[i]:ends[i]]. Spans over ``LONG_SPAN`` bytes go through xxhash: on long regular words a
+    polynomial modulo a power of two has known collisions."""
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=prefix[1:])
     body = (prefix[ends] - prefix[starts]) * powers(BASE_INVERSE, len(data) + 1)[starts]
-    return mix(body ^ ((ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ np.uint64(salt))
+    out = mix(body ^ ((ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ np.uint64(salt))
+    for k in np.flatnonzero(ends - starts > LONG_SPAN):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), salt)
+    return out
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -14,6 +14,7 @@ import pytest
 
 from recollect.llm import chat, chosen_path, licenses, line_dedup, minhash, packing, pieces, quality, repeats, scoring
 from recollect.llm.components import components
+from recollect.llm.textnum import span_hashes
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -337,6 +338,56 @@ def test_outliers_of_crowded_groups(spark):
     assert chosen_path.recall_of(chosen_path.WAYS) >= chosen_path.RECALL > chosen_path.recall_of((2, 1))
 
 
+def test_intersections_against_sets():
+    r = random.Random(4)
+    for _ in range(60):
+        sets = [sorted({r.randrange(40) for _ in range(r.randrange(1, 30))}) for _ in range(r.randrange(2, 12))]
+        bodies = [np.array(x, np.uint64) for x in sets]
+        half = np.array([r.random() < 0.5 for _ in sets])
+        half[:2] = [True, False]
+        for one, two in ((np.arange(len(sets)), np.arange(len(sets))), (np.flatnonzero(half), np.flatnonzero(~half))):
+            got = chosen_path.intersections(bodies, one, two)
+            for a, i in enumerate(one):
+                for b, j in enumerate(two):
+                    assert i == j or got[a, b] == len(set(sets[i]) & set(sets[j]))
+
+
+def test_regular_long_words_differ():
+    word = b"a"
+    for _ in range(12):  # Thue-Morse strings: equal polynomial hashes modulo a power of two
+        word += bytes(195 - x for x in word)
+    data = np.frombuffer(word + bytes(195 - x for x in word), np.uint8)
+    h = span_hashes(data, np.array([0, len(word)]), np.array([len(word), 2 * len(word)]))
+    assert h[0] != h[1]
+
+
+def test_recall_with_crowded_buckets(spark):
+    """Pairs about the threshold among thousands of texts of one template, so that most buckets are crowded."""
+    r = random.Random(21)
+    base, texts = prose(110, r).split(), []
+    for _ in range(400):  # up to 3 words changed in each: two texts share about 0.6 to 1 of their shingles
+        now = list(base)
+        for _ in range(r.randrange(0, 4)):
+            now[r.randrange(len(now))] = r.choice(VOCABULARY)
+        texts.append(" ".join(now))
+    data = spark.createDataFrame(list(enumerate(texts + [prose(40, r) for _ in range(4600)])), "doc_id long, text string")
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in chosen_path.linked(data).collect()}
+    want = {i: (c, n) for i, c, n in brute_links([(i, t) for i, t in enumerate(texts)])}
+    assert sum(got[i][1] for i in want) >= 0.999 * sum(n for _, n in want.values())
+    assert sum(got[i] == w for i, w in want.items()) >= 0.99 * len(want)
+
+
+def test_names_that_clash(spark):
+    base = prose(120)
+    names = ("_i", "_t", "i", "t", "k", "n", "node", "label", "set", "sieve_word", "_kept", "_text", "_spans", "_row", "row", "_gone", "_n_lines", "_q_words", "_q_kept", "q_words")
+    rows = [(n, x, *[f"{c}{n}" for c in names]) for n, x in enumerate([base, base, base + " more", prose(90), prose(80) + "\n" + LINE, None])]
+    data = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    for apply in (chosen_path.keep_one, repeats.apply, line_dedup.apply, lambda d: line_dedup.apply(d, broadcast_bytes=-1), quality.keep):
+        out = apply(data)
+        assert out.columns == data.columns
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in names)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
