@@ -228,7 +228,15 @@ def candidate_links(nodes: DataFrame, sigs: DataFrame, small: int = SMALL, depth
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    return _stars(out)
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """Links (a, b), b < a, that connect the same sets: each set goes to the least one it is linked to, as do the others it is
+    linked to. A set has no more links than runs times ways; those between the few least ones fall together."""
+    own = links.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("to"))
+    pairs = F.array_append(F.transform("to", lambda b: F.struct(b.alias("a"), F.col("least").alias("b"))), F.struct("a", F.col("least").alias("b")))
+    return own.select(F.explode(pairs).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
 
 def verified(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
