@@ -16,8 +16,9 @@ An anchor with more than ``hot`` distinct contexts (the edge of a passage that v
 its strings are counted by hash instead, exactly (:func:`_hot_starts`). No step compares pairs.
 
 Defined cases: null text is empty; texts under ``size`` bytes lose nothing; overlapping occurrences in one text count;
-repeated rows (also with the same doc_id) repeat each other; an empty table gives an empty result; only doc_id and text are
-read.
+repeated rows (also with the same doc_id) repeat each other, and each is a row of the result; a context that a text holds
+several times (periodic text) is one row with its number of places, its bytes are merged where they are found; an empty
+table gives an empty result; only doc_id and text are read, other columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.llm.columns import unused
 from recollect.llm.textnum import BASE, BASE_INVERSE, give_back, mix, powers, slices, small_batches
 from recollect.plans.shared import cut
 
@@ -96,20 +98,42 @@ def contexts(data: np.ndarray, offsets: np.ndarray, size: int = SIZE, gram: int
     return grams[at], mix(whole ^ (at - first).astype(np.uint64)), text, first - offsets[:-1][text], count
 
 
-def all_contexts(texts: pa.Array, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """contexts() of any batch; a text over 2**20 bytes goes in parts that overlap by size - 1 bytes, so no start is lost."""
-    out: list[tuple[np.ndarray, ...]] = []
+def all_contexts(texts: pa.Array, size: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """contexts() of any batch, a slice at a time; a text over 2**20 bytes goes in parts that overlap by size - 1 bytes, so no
+    start is lost."""
     step = (1 << 20) - size
     for i, _, data, offsets in slices(texts, 1 << 20):
         if len(data) <= 1 << 20:
             found = contexts(data, offsets, size, gram)
-            out.append((*found[:2], found[2] + i, *found[3:]))
+            yield (*found[:2], found[2] + i, *found[3:])
             continue
         for at in range(0, max(1, len(data) - size + 1), step):
             part = data[at : at + step + size - 1]
             found = contexts(part, np.array([0, len(part)]), size, gram)
-            out.append((*found[:2], found[2] + i, found[3] + at, found[4]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else contexts(np.zeros(0, np.uint8), np.zeros(1, np.int64), size, gram)
+            yield (*found[:2], found[2] + i, found[3] + at, found[4])
+
+
+def once_a_text(h: np.ndarray, c: np.ndarray, text: np.ndarray, s: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """The same contexts with each text's equal ones as one row: (h, c, text, s, n, k), k places of which s is the first; and
+    the merged byte ranges of the contexts with several places, as rows (0, 0, text, from, length, 0)."""
+    order = np.lexsort((s, c, h, text))
+    h, c, text, s, n = h[order], c[order], text[order], s[order], n[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (text[1:] != text[:-1])
+    heads = np.flatnonzero(new)
+    k = np.diff(np.append(heads, len(h)))
+    known = np.repeat(k > 1, k)
+    own, begin, end = text[known], s[known], (s + n - 1 + size)[known]
+    by = np.lexsort((begin, own))
+    own, begin, end = own[by], begin[by], end[by]
+    # ends rise with begins, as a context's bytes go on for size - 1 bytes after its last start and runs are disjoint
+    apart = np.ones(len(own), bool)
+    apart[1:] = (own[1:] != own[:-1]) | (begin[1:] > end[:-1])
+    first = np.flatnonzero(apart)
+    last = np.append(first[1:], len(own))[: len(first)] - 1
+    zero = np.zeros(len(first), np.int64)
+    ranges = (zero.astype(np.uint64), zero.astype(np.uint64), own[first], begin[first], end[last] - begin[first], zero)
+    return tuple(np.concatenate(x) for x in zip((h[heads], c[heads], text[heads], s[heads], n[heads], k), ranges, strict=True))
 
 
 #: Symbols of a sort key (9 bits each): suffixes are told apart by them at once, and the expansion starts from them.
@@ -274,19 +298,21 @@ def _hot_starts(parts: DataFrame, size: int) -> DataFrame:
     return rows.join(often, ["one", "two"]).select("h", "c", "a", (F.col("a") + 1).alias("b"))
 
 
-def spans(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_CONTEXTS, shard_bytes: int = SHARD_BYTES, bound: int = 1 << 22) -> DataFrame:
-    """(_i, _t, _spans): for each text (by id and hash) that has any, the byte ranges of repeated strings, not merged.
+def spans(keyed: DataFrame, i: str, t: str, size: int = SIZE, gram: int = GRAM, hot: int = HOT_CONTEXTS, shard_bytes: int = SHARD_BYTES, bound: int = 1 << 22) -> DataFrame:
+    """(i, t, spans): for each distinct text (by id and hash) that has any, the byte ranges of repeated strings, not merged.
 
-    keyed: documents with _i and _t. bound: repeated anchors are sent to the tasks up to this number (8 bytes each), beyond
-    it they join."""
+    keyed: documents with columns of the names i and t. bound: repeated anchors are sent to the tasks up to this number
+    (8 bytes each), beyond it they join."""
     spark = keyed.sparkSession
-    texts = keyed.select(F.col("_i").alias("i"), F.col("_t").alias("t"), "text")
+    texts = keyed.select(F.col(i).alias("i"), F.col(t).alias("t"), "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(all_contexts(batch.column(0), size, gram)[0].view(np.int64))], ["h"])
+            for found in all_contexts(batch.column(0), size, gram):
+                h, n = np.unique(found[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    repeated = cut(texts.select("text").mapInArrow(anchors, "h long").groupBy("h").count().where("count > 1").select("h"))
+    repeated = cut(texts.select("text").mapInArrow(anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
     n = repeated.count()
     known = None
     if n <= bound:
@@ -295,34 +321,39 @@ def spans(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_C
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, c, text, s, count = all_contexts(batch.column(2), size, gram)
-            h = h.view(np.int64)
-            if known is not None:
-                table = known.value
-                ok = table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h if len(table) else np.zeros(len(h), bool)
-                h, c, text, s, count = h[ok], c[ok], text[ok], s[ok], count[ok]
-            pick = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(s.astype(np.int32)), pa.array(count.astype(np.int32))], ["h", "c", "i", "t", "s", "n"])
-
-    found = texts.mapInArrow(places, "h long, c long, i long, t long, s int, n int")
-    found = cut((found if known is not None else found.join(repeated, "h", "left_semi")))
-    classes = cut(found.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(F.struct("i", "t", "s", "n")).alias("at")))
+            for found in all_contexts(batch.column(2), size, gram):
+                if known is not None:
+                    table, own = known.value, found[0].view(np.int64)
+                    ok = table[np.minimum(np.searchsorted(table, own), len(table) - 1)] == own if len(table) else np.zeros(len(own), bool)
+                    found = tuple(x[ok] for x in found)
+                h, c, text, s, count, k = once_a_text(*found, size)
+                pick = pa.array(text)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), *[pa.array(x.astype(np.int32)) for x in (s, count, k)]], ["h", "c", "i", "t", "s", "n", "k"])
+
+    found = texts.mapInArrow(places, "h long, c long, i long, t long, s int, n int, k int")
+    found = cut(found if known is not None else found.where("k > 0").join(repeated, "h", "left_semi").unionByName(found.where("k = 0")))
+    classes = cut(found.where("k > 0").groupBy("h", "c").agg(F.sum("k").alias("k"), F.min(F.struct("i", "t", "s", "n")).alias("at")))
     per_anchor = classes.groupBy("h").agg(F.count("*").alias("m"), F.sum(F.col("at.n") + size).alias("bytes"))
     sizes = per_anchor.agg(F.sum("bytes").alias("bytes"), F.max("m").alias("most")).head()
     shards = max(1, -(-int(sizes["bytes"] or 0) // shard_bytes))
 
     # each class's bytes are cut from one of its places; all columns go along, so that this join's shuffle of the documents is
     # the one that the last join uses too
-    wanted = classes.groupBy(F.col("at.i").alias("_i"), F.col("at.t").alias("_t")).agg(F.collect_list(F.struct("h", "c", "k", F.col("at.s").alias("s"), F.col("at.n").alias("n"))).alias("_rows"))
-    fetched = keyed.join(wanted, ["_i", "_t"]).select(*keyed.columns, "_rows")
-    text_at = keyed.columns.index("text")
+    rows_at = unused(keyed.columns, "rows")[0]
+    wanted = classes.groupBy(F.col("at.i").alias(i), F.col("at.t").alias(t)).agg(F.collect_list(F.struct("h", "c", "k", F.col("at.s").alias("s"), F.col("at.n").alias("n"))).alias(rows_at))
+    fetched = keyed.join(wanted, [i, t]).select(*keyed.columns, rows_at)
+    text_at, key_at = keyed.columns.index("text"), [keyed.columns.index(x) for x in (i, t)]
 
     def slice_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # a repeated row is read once
         for batch in small_batches(batches, text_at):
             h, c, k, body = [], [], [], []
-            for text, rows in zip(batch.column(text_at).to_pylist(), batch.column(len(batch.schema.names) - 1).to_pylist(), strict=True):
-                whole = (text or "").encode()
-                for r in rows:
+            for key, text, rows in zip(zip(*[batch.column(x).to_pylist() for x in key_at], strict=True), batch.column(text_at), batch.column(len(batch.schema.names) - 1), strict=True):
+                if key in seen:
+                    continue
+                seen.add(key)
+                whole = (text.as_py() or "").encode()
+                for r in rows.as_py():
                     h.append(r["h"])
                     c.append(r["c"])
                     k.append(r["k"])
@@ -332,8 +363,7 @@ def spans(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_C
     bodies = fetched.mapInArrow(slice_bodies, "h long, c long, k long, body binary")
     plain, starts = bodies, None
     if (sizes["most"] or 0) > hot:
-        # at most one anchor in `hot` contexts is heavy, so this side stays small: a few bytes for megabytes of contexts
-        heavy = F.broadcast(per_anchor.where(F.col("m") > hot).select("h"))
+        heavy = per_anchor.where(F.col("m") > hot).select("h")
         starts = _hot_starts(bodies.join(heavy, "h", "left_semi"), size)
         plain = bodies.join(heavy, "h", "left_anti")
 
@@ -345,8 +375,10 @@ def spans(keyed: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT_C
     dealt = plain.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     indexed = dealt.groupBy("shard").applyInArrow(index, "h long, c long, a int, b int")
     starts = indexed if starts is None else indexed.unionByName(starts)
-    covered = found.select("h", "c", "i", "t", "s").join(starts, ["h", "c"]).select("i", "t", (F.col("s") + F.col("a")).alias("from"), (F.col("s") + F.col("b") - 1 + size).alias("to"))
-    return covered.groupBy(F.col("i").alias("_i"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("from", "to")).alias("_spans"))
+    covered = found.where("k > 0").select("h", "c", "i", "t", "s").join(starts, ["h", "c"]).select("i", "t", (F.col("s") + F.col("a")).alias("from"), (F.col("s") + F.col("b") - 1 + size).alias("to"))
+    covered = covered.unionByName(found.where("k = 0").select("i", "t", F.col("s").alias("from"), (F.col("s") + F.col("n")).alias("to")))
+    # the copies of a row have found the same ranges
+    return covered.groupBy(F.col("i").alias(i), F.col("t").alias(t)).agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
 
 def merged(rows: list[dict]) -> list[tuple[int, int]]:
@@ -360,20 +392,23 @@ def merged(rows: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def removed(docs: DataFrame, **options: int) -> DataFrame:
-    """docs' own columns with `_kept` (binary: the remaining bytes), `_text` (their whole characters; null for a null text),
-    `_n_bytes`, `_n_removed`, `_n_spans`."""
+def removed(docs: DataFrame, **options: int) -> tuple[DataFrame, list[str]]:
+    """docs with five more columns, and their names: the remaining bytes, their whole characters (null for a null text), the
+    numbers of bytes, removed bytes and removed runs."""
     from pyspark.sql import types as T
 
-    keyed = docs.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "_t": F.xxhash64(F.coalesce("text", F.lit("")))})
-    joined = keyed.join(spans(keyed, **options), ["_i", "_t"], "left").select(*docs.columns, "_spans")
+    i, t, *names = unused(docs.columns, "i", "t", "kept", "words", "n_bytes", "n_removed", "n_spans")
+    found_at = unused([*docs.columns, i, t], "spans")[0]
+    keyed = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), t: F.xxhash64(F.coalesce("text", F.lit("")))})
+    found = spans(keyed, i, t, **options)
+    joined = keyed.join(found.withColumnRenamed(found.columns[-1], found_at), [i, t], "left").select(*docs.columns, found_at)
     text_at, last = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text_at):
             kept, sizes, gone, parts = [], [], [], []
-            for t, rows in zip(batch.column(text_at).to_pylist(), batch.column(last).to_pylist(), strict=True):
-                whole = (t or "").encode()
+            for text, rows in zip(batch.column(text_at).to_pylist(), batch.column(last).to_pylist(), strict=True):
+                whole = (text or "").encode()
                 ranges = merged(rows) if rows else []
                 at, pieces = 0, []
                 for a, b in ranges:
@@ -383,24 +418,25 @@ def removed(docs: DataFrame, **options: int) -> DataFrame:
                 sizes.append(len(whole))
                 gone.append(sum(b - a for a, b in ranges))
                 parts.append(len(ranges))
-            words = [None if t is None else k.decode(errors="ignore") for t, k in zip(batch.column(text_at).to_pylist(), kept, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(kept, pa.binary()), pa.array(words, pa.string()), *[pa.array(x, pa.int64()) for x in (sizes, gone, parts)]], [*batch.schema.names[:last], "_kept", "_text", "_n_bytes", "_n_removed", "_n_spans"])
+            words = [None if x is None else k.decode(errors="ignore") for x, k in zip(batch.column(text_at).to_pylist(), kept, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(kept, pa.binary()), pa.array(words, pa.string()), *[pa.array(x, pa.int64()) for x in (sizes, gone, parts)]], [*batch.schema.names[:last], *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_kept", T.BinaryType()), T.StructField("_text", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")]])
-    return joined.mapInArrow(run, schema)
+    kinds = (T.BinaryType(), T.StringType(), T.LongType(), T.LongType(), T.LongType())
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, kind) for c, kind in zip(names, kinds, strict=True)]])
+    return joined.mapInArrow(run, schema), names
 
 
 def report(docs: DataFrame, **options: int) -> DataFrame:
-    out = removed(docs.select("doc_id", "text"), **options)
-    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    out, (kept, _, *counts) = removed(docs.select("doc_id", "text"), **options)
+    return out.select("doc_id", *counts, F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def apply(docs: DataFrame, **options: int) -> DataFrame:
     """docs with its own columns; text without repeated bytes (bytes of characters that were cut in half go too), n_chars
     (if there) following it."""
-    out = removed(docs, **options)
-    lengths = {"n_chars": F.length("_text").cast("long")} if "n_chars" in docs.columns else {}
-    return out.withColumns({"text": F.col("_text")} | lengths).select(docs.columns)
+    out, (_, words, *_) = removed(docs, **options)
+    lengths = {"n_chars": F.length(words).cast("long")} if "n_chars" in docs.columns else {}
+    return out.withColumns({"text": F.col(words)} | lengths).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
