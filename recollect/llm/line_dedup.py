@@ -3,8 +3,9 @@
 Keys of lines (stripped of ``[\\x20\\x09-\\x0D]``, A-Z lowered) of at least ``min_chars`` code points are hashed to 128 bits.
 The distinct keys found in at least ``min_docs`` documents are cut into shards by hash; each shard is a minimal perfect hash
 (levels of bit arrays with rank counts) over compact arrays of fingerprints, document counts and last holders. Documents
-probe these arrays: lines never meet lines in a join. An index of at most ``broadcast_bytes`` (checked after it is built) is
-sent to the executors once; a larger one stays in its shards and the probes' hashes go to the shards (:func:`_by_shard`).
+probe these arrays: lines never meet lines in a join. An index of at most ``broadcast_bytes`` (checked by its number of keys
+before it is built) is sent to the executors once; a larger one stays in its shards, each sent to as many tasks as its probes
+need, and the probes' hashes go there (:func:`_by_shard`).
 
 Defined cases: null or empty text is one empty line; a document is a row, so repeated rows count and rows that share the
 largest doc_id all keep the line; a null doc_id is lower than any other; an empty table gives an empty result; other
@@ -22,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.llm.columns import unused
 from recollect.llm.textnum import mix, small_batches
 from recollect.plans.shared import cut
 
@@ -30,6 +32,8 @@ LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 1 << 18
 BROADCAST_BYTES = 48 << 20
+#: Bytes of a key in the index: its fingerprint, count, last holder and bits.
+INDEX_BYTES = 32
 LOWEST = -(1 << 63)
 
 
@@ -53,15 +57,15 @@ def _lowered(text: str | None) -> list[bytes]:
 
 
 class PerfectHash:
-    """A minimal perfect hash over distinct uint64 keys: at each level the keys alone in their cell get a bit; a key's index
-    is the rank of its bit over all levels. Absent keys get any index; the fingerprint array tells them."""
+    """A minimal perfect hash over distinct 128-bit keys (two uint64 arrays): at each level the keys alone in their cell get a
+    bit; a key's index is the rank of its bit over all levels. Absent keys get any index; the fingerprint array tells them."""
 
-    def __init__(self, keys: np.ndarray, gamma: float = 2.0) -> None:
+    def __init__(self, low: np.ndarray, high: np.ndarray, gamma: float = 2.0) -> None:
         self.sizes, self.bits, self.ranks, base, level = [], [], [], 0, 0
-        rest = keys
+        rest = np.arange(len(low))
         while len(rest):
             size = max(64, int(len(rest) * gamma) + 63 & ~63)
-            at = self._cells(rest, level, size)
+            at = self._cells(low[rest], high[rest], level, size)
             alone = np.bincount(at, minlength=size) == 1
             placed = alone[at]
             bits = np.packbits(alone, bitorder="little")
@@ -76,17 +80,18 @@ class PerfectHash:
                 raise ValueError("keys are not distinct")
 
     @staticmethod
-    def _cells(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(size)).astype(np.int64)
+    def _cells(low: np.ndarray, high: np.ndarray, level: int, size: int) -> np.ndarray:
+        salt = np.uint64((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        return (mix(mix(low + salt) ^ (high * salt)) % np.uint64(size)).astype(np.int64)
 
-    def index(self, keys: np.ndarray) -> np.ndarray:
+    def index(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """int64 indexes; -1 where no level has a bit."""
-        out = np.full(len(keys), -1, np.int64)
-        open_ = np.arange(len(keys))
+        out = np.full(len(low), -1, np.int64)
+        open_ = np.arange(len(low))
         for level, (size, bits, ranks) in enumerate(zip(self.sizes, self.bits, self.ranks, strict=True)):
             if not len(open_):
                 break
-            at = self._cells(keys[open_], level, size)
+            at = self._cells(low[open_], high[open_], level, size)
             hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             at, found = at[hit], open_[hit]
             word = at >> 6
@@ -98,19 +103,20 @@ class PerfectHash:
 
 
 class Shard:
-    """Arrays behind a perfect hash: fingerprint (the other 64 bits), documents and last holder of each key."""
+    """Arrays behind a perfect hash: fingerprint (128 bits), documents and last holder of each key."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray, docs: np.ndarray, last: np.ndarray) -> None:
-        self.hash = PerfectHash(low)
-        at = self.hash.index(low)
-        self.prints, self.docs, self.last = np.empty_like(high), np.empty(len(at), np.int32), np.empty_like(last)
-        self.prints[at], self.docs[at], self.last[at] = high, np.minimum(docs, 2**31 - 1), last
+        self.hash = PerfectHash(low, high)
+        at = self.hash.index(low, high)
+        self.prints, self.docs, self.last = np.empty(2 * len(high), np.uint64), np.empty(len(at), np.int32), np.empty_like(last)
+        self.prints[2 * at], self.prints[2 * at + 1], self.docs[at], self.last[at] = low, high, np.minimum(docs, 2**31 - 1), last
 
     def probe(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(known, last holder) for each key."""
-        at = self.hash.index(low)
+        at = self.hash.index(low, high)
         known = at >= 0
-        known[known] = self.prints[at[known]] == high[known]
+        here = 2 * at[known]
+        known[known] = (self.prints[here] == low[known]) & (self.prints[here + 1] == high[known])
         return known, np.where(known, self.last[np.maximum(at, 0)], 0) if len(self.last) else np.zeros(len(low), np.int64)
 
     def dump(self) -> bytes:
@@ -155,8 +161,8 @@ def build_index(frequent: DataFrame, shards: int) -> DataFrame:
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         col = lambda n, kind: table.column(n).to_numpy().astype(kind)
-        low, first = np.unique(col("low", np.int64).view(np.uint64), return_index=True)  # a 64-bit clash keeps one key
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([Shard(low, col("high", np.int64).view(np.uint64)[first], col("docs", np.int64)[first], col("last", np.int64)[first]).dump()], pa.binary())})
+        shard = Shard(*[col(n, np.int64).view(np.uint64) for n in ("low", "high")], col("docs", np.int64), col("last", np.int64))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([shard.dump()], pa.binary())})
 
     return frequent.withColumn("shard", shard_of(F.col("low"), shards)).groupBy("shard").applyInArrow(build, "shard int, blob binary")
 
@@ -165,30 +171,35 @@ def shard_of(low, shards: int):  # noqa: ANN001, ANN201
     return F.pmod(F.shiftright(low, 33), F.lit(shards)).cast("int")
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with `_kept` (text without dropped lines; null texts stay null if nothing was there), `_n_lines`, `_n_dropped`."""
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, list[str]]:
+    """docs with three more columns, and their names: text without dropped lines (null texts stay null), the number of lines
+    and of dropped lines."""
     spark = docs.sparkSession
+    names = unused(docs.columns, "kept", "n_lines", "n_dropped")
     frequent = cut(frequent_lines(docs, min_chars, min_docs))
     n = frequent.count()
     shards = max(1, -(-n // SHARD_KEYS))
     index = build_index(frequent, shards)
-    if n * 24 > broadcast_bytes:
-        return _by_shard(docs, index, shards, min_chars)
+    if n * INDEX_BYTES > broadcast_bytes:
+        return _by_shard(docs, index, shards, min_chars, names), names
     blobs = {r["shard"]: bytes(r["blob"]) for r in index.collect()}
-    return _by_broadcast(docs, spark.sparkContext.broadcast(blobs), shards, min_chars)
+    return _by_broadcast(docs, spark.sparkContext.broadcast(blobs), shards, min_chars, names), names
 
 
-def _with_result(docs: DataFrame, mapper) -> DataFrame:  # noqa: ANN001
+def _with_result(docs: DataFrame, mapper, names: list[str]) -> DataFrame:  # noqa: ANN001
     """docs' columns plus the result's, by a mapper that gets and returns batches with docs' columns first."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_kept", T.StringType()), T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
-    return docs.mapInArrow(mapper, schema)
+    kinds = (T.StringType(), T.LongType(), T.LongType())
+    return docs.mapInArrow(mapper, T.StructType([*docs.schema.fields, *[T.StructField(c, kind) for c, kind in zip(names, kinds, strict=True)]]))
 
 
-def _by_broadcast(docs: DataFrame, shared, shards: int, min_chars: int) -> DataFrame:  # noqa: ANN001
-    place = {c: k for k, c in enumerate(docs.columns)}
-    id_at, text_at = place["doc_id"], place["text"]
+def _without(text: str | None, gone: set[int] | None) -> str | None:
+    return b"\n".join(x for n, x in enumerate(_split(text)) if n not in gone).decode() if gone else text
+
+
+def _by_broadcast(docs: DataFrame, shared, shards: int, min_chars: int, names: list[str]) -> DataFrame:  # noqa: ANN001
+    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = {k: Shard.load(v) for k, v in shared.value.items()}
@@ -213,60 +224,77 @@ def _by_broadcast(docs: DataFrame, shared, shards: int, min_chars: int) -> DataF
                             row, number = where[i]
                             if (LOWEST if ids[row] is None else ids[row]) != holder:
                                 gone.setdefault(row, set()).add(number)
-            kept = list(texts)
-            for row, numbers in gone.items():
-                kept[row] = b"\n".join(x for n, x in enumerate(_split(texts[row])) if n not in numbers).decode()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array([len(gone.get(r, ())) for r in range(len(texts))], pa.int64())], [*batch.schema.names, "_kept", "_n_lines", "_n_dropped"])
+            kept = [_without(text, gone.get(row)) for row, text in enumerate(texts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array([len(gone.get(r, ())) for r in range(len(texts))], pa.int64())], [*batch.schema.names, *names])
+
+    return _with_result(docs, run, names)
+
 
-    return _with_result(docs, run)
+#: Probes of a shard that go to one task together (24 bytes each).
+PROBES = 1 << 20
 
 
-def _by_shard(docs: DataFrame, index: DataFrame, shards: int, min_chars: int) -> DataFrame:
-    """The same for an index of any size: each row's line hashes go to their shards, hits come back and join the row."""
+def _by_shard(docs: DataFrame, index: DataFrame, shards: int, min_chars: int, names: list[str]) -> DataFrame:
+    """The same for an index of any size. Distinct (line key, whether its last holder asks) probes go to their shards, each
+    shard's arrays to as many tasks as its probes fill, and the keys to drop come back to the rows that hold them. A row is
+    named by its doc_id and two hashes of its text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), text))
+    i, t, u, gone_at = unused(docs.columns, "i", "t", "u", "gone")
+    keyed = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), t: F.xxhash64(text), u: F.xxhash64(text, F.length(text), F.lit(1))})
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 2):
+        for batch in small_batches(batches, 3):
             rows, hashes, numbers = [], [], []
-            for row, i, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for number, h in keys_of(_lowered(t), min_chars):
-                    rows.append((row, LOWEST if i is None else i))
+            for row, one in enumerate(batch.column(3).to_pylist()):
+                for number, h in keys_of(_lowered(one), min_chars):
+                    rows.append(row)
                     numbers.append(number)
                     hashes.append(h)
             both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([i for _, i in rows], pa.int64()), pa.array(numbers, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["row", "id", "number", "low", "high"])
+            pick = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pick) for k in range(3)], pa.array(numbers, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["i", "t", "u", "number", "low", "high"])
 
     def hits(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = left.select(["row", "number"]).slice(0, 0)
+        out = left.select(["i", "t", "u", "number"]).slice(0, 0)
         if len(right) and len(left):
             known, last = Shard.load(right.column("blob")[0].as_py()).probe(*[left.column(c).to_numpy().view(np.uint64) for c in ("low", "high")])
-            out = left.select(["row", "number"]).filter(pa.array(known & (last != left.column("id").to_numpy())))
+            out = left.select(["i", "t", "u", "number"]).filter(pa.array(known & (last != left.column("i").to_numpy())))
         return out
 
-    asked = keyed.select("_row", F.col("doc_id").cast("long").alias("i"), "text").mapInArrow(probes, "row long, id long, number int, low long, high long")
-    # a probe's shard is salted, and each salt has the shard's arrays: a very common line is no hot key
-    salts = 16
-    asked = asked.withColumn("shard", shard_of(F.col("low"), shards)).withColumn("salt", F.pmod(F.col("row"), F.lit(salts)).cast("int")).distinct()
-    arrays = index.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(salts)])))
-    found = asked.groupBy("shard", "salt").cogroup(arrays.groupBy("shard", "salt")).applyInArrow(hits, "row long, number int")
-    gone = found.groupBy("row").agg(F.collect_set("number").alias("_gone"))
-    joined = keyed.join(gone, F.col("_row") == F.col("row"), "left")
-    lines = F.split(text, "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, k: ~F.array_contains(F.col("_gone"), k)), "\n"))
-    return joined.select(*docs.columns, kept.alias("_kept"), F.size(lines).cast("long").alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_dropped"))
+    asked = keyed.select(F.col(i).alias("i"), F.col(t).alias("t"), F.col(u).alias("u"), "text").mapInArrow(probes, "i long, t long, u long, number int, low long, high long")
+    asked = asked.distinct().withColumn("shard", shard_of(F.col("low"), shards))
+    salts = asked.groupBy("shard").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("salts"))
+    arrays = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("shard", "salt", "blob")
+    # shards are few (a quarter of a million keys each), so this side is a small part of the keys' size
+    dealt = asked.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("i", "t", "number"), F.col("salts")).cast("int")).drop("salts")
+    found = dealt.groupBy("shard", "salt").cogroup(arrays.groupBy("shard", "salt")).applyInArrow(hits, "i long, t long, u long, number int")
+    gone = found.groupBy(F.col("i").alias(i), F.col("t").alias(t), F.col("u").alias(u)).agg(F.collect_set("number").alias(gone_at))
+    joined = keyed.join(gone, [i, t, u], "left").select(*docs.columns, gone_at)
+    text_at, last = docs.columns.index("text"), len(docs.columns)
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, text_at):
+            texts, numbers = batch.column(text_at).to_pylist(), [set(x or ()) for x in batch.column(last).to_pylist()]
+            kept = [_without(one, n) for one, n in zip(texts, numbers, strict=True)]
+            counts = [(one or "").count("\n") + 1 for one in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array([len(n) for n in numbers], pa.int64())], [*batch.schema.names[:last], *names])
+
+    from pyspark.sql import types as T
+
+    kinds = (T.StringType(), T.LongType(), T.LongType())
+    return joined.mapInArrow(drop, T.StructType([*docs.schema.fields, *[T.StructField(c, kind) for c, kind in zip(names, kinds, strict=True)]]))
 
 
 def report(docs: DataFrame, **options: int) -> DataFrame:
-    out = deduplicated(docs.select("doc_id", "text"), **options)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
+    out, (kept, *counts) = deduplicated(docs.select("doc_id", "text"), **options)
+    return out.select("doc_id", *counts, F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"))
 
 
 def apply(docs: DataFrame, **options: int) -> DataFrame:
     """docs with its own columns; text without the dropped lines, n_chars (if there) following it."""
-    out = deduplicated(docs, **options)
-    lengths = {"n_chars": F.length("_kept").cast("long")} if "n_chars" in docs.columns else {}
-    return out.withColumns({"text": F.col("_kept")} | lengths).select(docs.columns)
+    out, (kept, *_) = deduplicated(docs, **options)
+    lengths = {"n_chars": F.length(kept).cast("long")} if "n_chars" in docs.columns else {}
+    return out.withColumns({"text": F.col(kept)} | lengths).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
