@@ -4,7 +4,7 @@ Every measure is a JVM expression over one row, so the operator is a map without
 found by sorting (window hash, place) inside the row, n log n in the words of one text.
 
 Defined cases: null text counts as the empty text (no words: base_failed, not kept); repeated rows give a row each; extra
-columns are ignored by :func:`measures` and kept by :func:`keep`.
+columns, whatever their names, are ignored by :func:`report` and kept by :func:`keep`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -87,9 +87,17 @@ def covered(ordered: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
 
-def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", prefix: str = "_q_") -> DataFrame:
-    """docs with the measures and verdicts as columns named with `prefix`."""
-    p = prefix
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no column's name begins with (in any case)."""
+    p = "_q_"
+    while any(c.lower().startswith(p) for c in columns):
+        p = "_" + p
+    return p
+
+
+def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", prefix: str | None = None) -> DataFrame:
+    """docs with the measures and verdicts as columns named with `prefix` (by default a free one)."""
+    p = prefix or free_prefix(docs.columns)
     c = lambda n: F.col(p + n)
     text = F.coalesce(F.col(text_col), F.lit(""))
     step = docs.withColumns({p + k: v for k, v in measures(text).items()})
@@ -131,8 +139,9 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows whose verdict is kept, with docs' own columns."""
     # a filter would be pushed below the projection and repeat its expressions; a row number in it keeps the filter above
-    judged = assess(docs, rules).select(*docs.columns, (~F.col("_q_base_failed") & F.col("_q_passed")).alias("_q_kept"), F.monotonically_increasing_id().alias("_q_row"))
-    return judged.where(F.col("_q_kept") & (F.col("_q_row") >= 0)).select(docs.columns)
+    p = free_prefix(docs.columns)
+    judged = assess(docs, rules, prefix=p).select(*docs.columns, (~F.col(p + "base_failed") & F.col(p + "passed")).alias(p + "kept"), F.monotonically_increasing_id().alias(p + "row"))
+    return judged.where(F.col(p + "kept") & (F.col(p + "row") >= 0)).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

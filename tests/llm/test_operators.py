@@ -144,7 +144,7 @@ def test_interval_expansion_against_brute_force():
 def test_long_text_in_parts():
     block = prose(200).encode()
     data = (prose(120_000)[: (1 << 20) - 500].encode() + block + prose(3000).encode() + block).decode()
-    h, c, text, s, n = repeats.all_contexts(pa.array([data]), 200, 50)
+    h, c, text, s, n = (np.concatenate(x) for x in zip(*repeats.all_contexts(pa.array([data]), 200, 50)))
     covered = np.zeros(len(data.encode()), bool)
     for a, b in zip(s, n):
         assert not covered[a : a + b].any()
@@ -153,6 +153,21 @@ def test_long_text_in_parts():
     assert len(set(h.tolist())) < len(h)
 
 
+@pytest.mark.parametrize("options", [{}, {"bound": 0, "shard_bytes": 1 << 10, "hot": 1}])
+def test_repeated_rows_and_periodic_texts(spark, options):
+    r = random.Random(8)
+    base = prose(90, r)
+    given = [(7, base)] * 40 + [(8, base)] + [(i, t) for i, t in enumerate(["a" * 700, "ab" * 400 + prose(30, r), "xyz" * 200 + base[:300], "a" * 199, "a" * 200, "b" * 200, "日" * 150, base[50:260]])]
+    want = Counter((i, *x) for (i, _), x in zip(given, brute_repeats([t for _, t in given], 200)))
+    out = repeats.report(spark.createDataFrame(given, "doc_id long, text string"), **options)
+    assert Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in rows_of(out)) == want
+
+
+def test_a_periodic_line_is_few_rows():
+    found = next(repeats.all_contexts(pa.array(["ab" * 300_000]), 200, 50))
+    assert len(found[0]) > 250_000 and len(repeats.once_a_text(*found, 200)[0]) < 10
+
+
 # -- 3: chat
 
 
@@ -214,13 +229,15 @@ def test_lines(docs, empty, options):
 
 
 def test_perfect_hash():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64))
-    high = keys * np.uint64(3)
-    shard = line_dedup.Shard.load(line_dedup.Shard(keys, high, np.full(len(keys), 7), keys.astype(np.int64)).dump())
-    assert sorted(shard.hash.index(keys)) == list(range(len(keys)))
+    high = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64))
+    keys = high * np.uint64(3)
+    keys[:100] = keys[0]  # keys that share their low halves are told apart
+    shard = line_dedup.Shard.load(line_dedup.Shard(keys, high, np.full(len(keys), 7), high.astype(np.int64)).dump())
+    assert sorted(shard.hash.index(keys, high)) == list(range(len(keys)))
     known, last = shard.probe(keys, high)
-    assert known.all() and (last == keys.astype(np.int64)).all()
+    assert known.all() and (last == high.astype(np.int64)).all()
     assert not shard.probe(keys + np.uint64(1), high + np.uint64(1))[0].any()
+    assert not shard.probe(keys[:1], high[:1] + np.uint64(1))[0].any()
 
 
 # -- 5: packing
