@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages; each reads what the one before wrote and returns what the next one reads.
 
 All but the last return the columns of ``documents``; the last returns the packed pieces with their ids.
+
+Defined cases: null text is empty and, as a text without words, rejected by the first stage; rows that repeat are one group of
+copies for the third; long texts are processed whole; other columns go along up to the last stage; an empty table gives no
+piece.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm import chosen_path, line_dedup, packing, quality, repeats
+from recollect.plans.shared import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +52,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage returns is written to the shared folder, so that the passes of the next one don't repeat it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for n, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, cut(docs) if n else docs, sf_dir)
     return docs
 
 
