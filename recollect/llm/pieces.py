@@ -3,18 +3,23 @@
 Text gets a marker for each blank and one in front; the best path over all pieces maximises the sum of scores, earlier
 starts winning ties. Characters that no piece covers become byte pieces. A piece has markers at its front only, so the best
 path of a text is the best paths of its marker-led chunks one after another; distinct chunks of a slice are solved together,
-a byte position at a time in numpy, and kept in a bounded cache.
+a byte position at a time in numpy, and kept in a bounded cache. A chunk over ``LONG_CHUNK`` bytes (text without blanks)
+walks the trie from all its places at once, then follows the found pieces in order: linear in its length.
+
+Scores are log probabilities. A Unigram file states them. A file of merges states ranks instead, of which sums mean nothing:
+their log probabilities follow Zipf's law over the ranks, log p(r) = -log(1 + r) - log H, a rule without any training.
 
 Decoding joins pieces, turns markers to blanks, byte pieces to bytes, and drops the front marker. A marker character in the
 text itself is encoded as its bytes, so it comes back as it was and the round trip is exact.
 
-Defined cases: null or empty text has no pieces; repeated rows are encoded each; an empty table gives an empty result; only
-doc_id and text are read.
+Defined cases: null or empty text has no pieces; a text of any length is encoded whole; equal scores go to the path whose last
+piece starts first; repeated rows are encoded each; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -33,6 +38,9 @@ MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 CACHE_CHUNKS = 1 << 18
+LONG_CHUNK, WINDOW = 512, 1 << 16
+# Kinds of model in a file's trainer part.
+UNIGRAM, MERGES = 1, 2
 SLICE_CHARS = 1 << 20
 
 
@@ -62,12 +70,20 @@ def _fields(data: bytes) -> Iterator[tuple[int, int, bytes | int]]:
             at += n
 
 
+def zipf_scores(ranks: list[float]) -> list[float]:
+    """Log probabilities from merge ranks (0 or falling: the files state them negated)."""
+    total = math.log(math.fsum(1 / (1 - r) for r in ranks))
+    return [-math.log(1 - r) - total for r in ranks]
+
+
 def read_pieces(path: str) -> list[tuple[str, float, int]]:
-    """(piece, score, type) in the order of ids, from a model file."""
+    """(piece, log score, type) in the order of ids, from a model file."""
     with open(path, "rb") as f:  # installed on every machine like a library; it is no input
         data = f.read()
-    out = []
+    out, model = [], UNIGRAM
     for number, _, value in _fields(data):
+        if number == 2:
+            model = next((v for n, _, v in _fields(value) if n == 3), UNIGRAM)
         if number == 1:
             piece, score, kind = "", 0.0, NORMAL
             for n, _, v in _fields(value):
@@ -78,6 +94,10 @@ def read_pieces(path: str) -> list[tuple[str, float, int]]:
                 elif n == 3:
                     kind = v
             out.append((piece, score, kind))
+    if model == MERGES:
+        real = [k for k, (_, _, kind) in enumerate(out) if kind == NORMAL]
+        for k, score in zip(real, zipf_scores([out[k][1] for k in real]), strict=True):
+            out[k] = (out[k][0], score, out[k][2])
     return out
 
 
@@ -94,9 +114,8 @@ class Trie:
         words = sorted(keys)
         size = 4 * sum(map(len, words)) + 1024
         base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        # the free slots as bits of one integer: a fit for several children is an intersection of shifts
-        free = ((1 << size) - 1) ^ 1
-        last = 0
+        used, cursor, last = bytearray(size), 1, 0
+        used[0] = 1
         todo = [(0, 0, len(words), 0)]  # state, range of words, depth
         while todo:
             state, a, b, depth = todo.pop()
@@ -113,16 +132,18 @@ class Trie:
                     j += 1
                 cuts.append((c, i, j))
                 i = j
-            fits = -1
-            for c, _, _ in cuts:
-                fits &= free >> (c + 2)
-            offset = (fits & -fits).bit_length()
-            base[state] = offset
+            # the lowest free slot of the first child where all others' are free too
+            lead, rest = cuts[0][0], [c - cuts[0][0] for c, _, _ in cuts[1:]]
+            at = used.find(0, max(cursor, lead + 2))
+            while any(used[at + c] for c in rest):
+                at = used.find(0, at + 1)
+            base[state] = at - lead - 1
             for c, i, j in cuts:
-                child = offset + c + 1
-                free ^= 1 << child
+                child = at - lead + c
+                used[child] = 1
                 last, check[child] = max(last, child), state
                 todo.append((child, i, j, depth + 1))
+            cursor = used.find(0, cursor)
         end = last + 258
         return cls(base[:end].copy(), check[:end].copy(), value[:end].copy())
 
@@ -146,6 +167,7 @@ class Pieces:
                 self.surface.append(b"" if k in (CONTROL, UNKNOWN) else p.replace(MARKER, " ").encode())
         self.is_byte = np.array([k == BYTE for _, _, k in table])
         self.trie = Trie.build({p.encode(): i for p, i in live.items()})
+        self.longest = max(len(p.encode()) for p in live)
         alphabet = {c for p in live for c in p}
         # a line feed outside the alphabet stands alone on every path
         self.pattern = re.compile(r"\n| +[^ \n]*|[^ \n]+" if "\n" not in alphabet else r" +[^ ]*|[^ ]+")
@@ -160,6 +182,9 @@ class Pieces:
         # a literal marker must not meet the trie: it becomes a byte that UTF-8 never has, and is coded as its own bytes
         bodies = [c.replace(MARKER, "\0￿\0").replace(" ", MARKER).encode().replace(b"\0\xef\xbf\xbf\0", b"\xff\x96\x81") if MARKER in c else c.replace(" ", MARKER).encode() for c in chunks]
         order = sorted(range(len(chunks)), key=lambda i: len(bodies[i]))
+        while order and len(bodies[order[-1]]) > LONG_CHUNK:
+            out[order[-1]] = self._solve_long(bodies[order[-1]])
+            order.pop()
         a = 0
         while a < len(order):
             most = max(16, 2 * len(bodies[order[a]]))
@@ -214,6 +239,60 @@ class Pieces:
             best[r, end], start[r, end], piece[r, end] = score[up], p, -1
         return self._ids(text, lengths, start, piece)
 
+    def _edges(self, text: np.ndarray, low: int, high: int) -> tuple[list[int], list[int], list[float], list[int]]:
+        """Pieces that start in text[low:high], as (start, end, score, id), by start; unknown characters have the id -1."""
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        first = low + np.flatnonzero((text[low:high] & 0xC0) != 0x80)
+        lead = text[first]
+        step = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, np.where(lead < 0xF8, 4, 3))))
+        alone = np.zeros(len(first), bool)
+        starts, ends, ids = [], [], []
+        at, state, q = np.arange(len(first)), np.zeros(len(first), np.int64), 0
+        while len(at):
+            inside = first[at] + q < len(text)
+            at, state = at[inside], state[inside]
+            below = base[state] + text[first[at] + q].astype(np.int64) + 1
+            ok = check[below] == state
+            at, state, q = at[ok], below[ok], q + 1
+            found = value[state]
+            hit = found >= 0
+            alone[at[hit]] |= step[at[hit]] == q
+            starts.append(first[at[hit]])
+            ends.append(first[at[hit]] + q)
+            ids.append(found[hit])
+        bare = np.flatnonzero(~alone)
+        starts.append(first[bare])
+        ends.append(np.minimum(first[bare] + step[bare], len(text)))
+        ids.append(np.full(len(bare), -1, np.int32))
+        s, e, i = (np.concatenate(x) for x in (starts, ends, ids))
+        order = np.argsort(s, kind="stable")
+        s, e, i = s[order], e[order], i[order]
+        return s.tolist(), e.tolist(), np.where(i < 0, self.unknown, self.scores[i]).tolist(), i.tolist()
+
+    def _solve_long(self, body: bytes) -> bytes:
+        """One long chunk, a window of starts at a time."""
+        text = np.frombuffer(body, np.uint8)
+        n, reach = len(text), self.longest + 4
+        start, piece = np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int32)
+        best = [0.0]
+        for low in range(0, n, WINDOW):
+            high = min(n, low + WINDOW)
+            size = min(n, high + reach) - low + 1
+            best += [-math.inf] * (size - len(best))
+            begin, own = start[low : low + size].tolist(), piece[low : low + size].tolist()
+            for s, e, score, i in zip(*self._edges(text, low, high), strict=True):
+                up = best[s - low] + score
+                if up > best[e - low]:
+                    best[e - low], begin[e - low], own[e - low] = up, s, i
+            start[low : low + size], piece[low : low + size] = begin, own
+            best = best[high - low :]
+        out, at = [], n
+        while at:
+            s, i = int(start[at]), int(piece[at])
+            out += [i] if i >= 0 else [int(self.bytes[0xE2 if b == 0xFF else b]) for b in body[s:at][::-1]]
+            at = s
+        return np.array(out[::-1], "<u4").tobytes()
+
     def _ids(self, text: np.ndarray, lengths: np.ndarray, start: np.ndarray, piece: np.ndarray) -> list[bytes]:
         """Walk the best paths back, all chunks at once; an unknown character gives its bytes."""
         steps = []

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -494,13 +495,16 @@ def table():
     return pieces.Pieces(pieces.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
 
 
-def best_score(table, text):
+def live_pieces(table):
+    return {s.replace(b" ", pieces.MARKER.encode()).decode(): i for i, s in enumerate(table.surface) if i > 258}
+
+
+def best_score(table, live, text):
     """The exhaustive path: best score over all segmentations, by plain dynamic programming."""
     body = text.replace(" ", pieces.MARKER)
-    live = {s.replace(b" ", pieces.MARKER.encode()).decode(): i for i, s in enumerate(table.surface) if i > 258}
     best = [0.0] + [-math.inf] * len(body)
     for b in range(1, len(body) + 1):
-        for a in range(max(0, b - 16), b):
+        for a in range(max(0, b - 48), b):
             i = live.get(body[a:b])
             if i is not None:
                 best[b] = max(best[b], best[a] + float(table.scores[i]))
@@ -509,13 +513,40 @@ def best_score(table, text):
     return best[-1]
 
 
+def path_score(table, ids):
+    """The score of ids: a character in byte pieces counts once, as unknown."""
+    total = 0.0
+    for i in ids:
+        if not table.is_byte[i]:
+            total += float(table.scores[i])
+        elif table.surface[i][0] & 0xC0 != 0x80:
+            total += table.unknown
+    return total
+
+
 def test_pieces(table):
-    for t in [t for t in TEXTS if t][:12] + ["  a  b ", "日本語 漢字🙂 é", "x\n\ny"]:
-        t = t[:200]
+    live = live_pieces(table)
+    known = [t[:200] for t in TEXTS if t][:20] + ["  a  b ", "日本語 漢字🙂 é", "x\n\ny"]
+    long = ["日本語のテキストと漢字🙂" * 40, prose(200).replace(" ", ""), "international" * 90 + "é🙂\x00" * 30, "a" * 2000]
+    for t in known + long:
         ids = np.frombuffer(table.encode([t])[0], "<u4")
         assert table.decode(ids.tobytes()) == t
-        if "\n" not in t and "🙂" not in t and "▁" not in t and t.isascii():
-            assert float(table.scores[ids].sum()) == best_score(table, " " + t)
+        if "\n" not in t and "▁" not in t:
+            assert abs(path_score(table, ids) - best_score(table, live, " " + t)) < 1e-6, t
+
+
+def test_scores_are_log_probabilities(table):
+    assert abs(sum(math.exp(s) for p, s in zip(table.surface, table.scores.tolist()) if s < 0) - 1) < 1e-6
+    shown = lambda t: [table.surface[i].decode() for i in np.frombuffer(table.encode([t])[0], "<u4")]
+    assert shown("the international communities are playing") == [" the", " international", " communities", " are", " playing"]
+
+
+def test_a_megabyte_without_blanks(table):
+    begun = time.process_time()
+    text = ("日本語のテキスト🙂" * 40 + prose(300).replace(" ", "")) * 400
+    assert len(text.encode()) > 1 << 20
+    assert table.decode(table.encode([text])[0]) == text
+    assert time.process_time() - begun < 60
 
 
 def test_pieces_query(docs, empty):
