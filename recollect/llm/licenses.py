@@ -59,6 +59,25 @@ SENTENCES = {
     "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": "ISC-grant",
     "this is free and unencumbered software released into the public domain": "Unlicense-grant",
     "all rights reserved": "Reserved",
+    "in no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software": "MIT-liability",
+    "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"software\"), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so": "MIT-0-grant",
+    "this software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BSD-warranty",
+    "in no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage": "BSD-liability",
+    "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "0BSD-grant",
+    "the software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ISC-warranty",
+    "in no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software": "ISC-liability",
+    "this program is free software: you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version": "AGPL-3-later",
+    "see the gnu affero general public license for more details": "AGPL-see",
+    "this library is free software: you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version": "LGPL-3-later",
+    "this library is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose": "LGPL-warranty",
+    "see the gnu lesser general public license for more details": "LGPL-see",
+    "this software is provided 'as-is', without any express or implied warranty": "Zlib-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "Zlib-liability",
+    "permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:": "Zlib-grant",
+    "distributed under the boost software license, version 1.0": "BSL-1-ref",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0": "EPL-2-ref",
+    "to the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "CC0-waiver",
+    "anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means": "Unlicense-free",
 }
 
 #: Ordered: a rule's identifiers must follow one another in the sequence.
@@ -69,9 +88,23 @@ RULES = (
     ("GPL-3.0-or-later", ("GPL-3-later",)),
     ("GPL-2.0-or-later", ("GPL-2-later", "GPL-warranty", "GPL-see")),
     ("GPL-2.0-or-later", ("GPL-2-later",)),
+    ("AGPL-3.0-or-later", ("AGPL-3-later", "GPL-warranty", "AGPL-see")),
+    ("AGPL-3.0-or-later", ("AGPL-3-later",)),
+    ("LGPL-3.0-or-later", ("LGPL-3-later", "LGPL-warranty", "LGPL-see")),
+    ("LGPL-3.0-or-later", ("LGPL-3-later",)),
+    ("LGPL-2.1-or-later", ("LGPL-21-later", "LGPL-warranty", "LGPL-see")),
     ("LGPL-2.1-or-later", ("LGPL-21-later",)),
+    ("MIT", ("MIT-title", "MIT-grant", "MIT-notice", "MIT-warranty", "MIT-liability")),
     ("MIT", ("MIT-title", "MIT-grant", "MIT-notice", "MIT-warranty")),
+    ("MIT", ("MIT-grant", "MIT-notice", "MIT-warranty", "MIT-liability")),
     ("MIT", ("MIT-grant", "MIT-notice", "MIT-warranty")),
+    ("MIT-0", ("MIT-0-grant", "MIT-warranty", "MIT-liability")),
+    ("BSD-3-Clause", ("BSD-grant", "BSD-source", "BSD-binary", "BSD-endorse", "BSD-warranty", "BSD-liability")),
+    ("BSD-2-Clause", ("BSD-grant", "BSD-source", "BSD-binary", "BSD-warranty", "BSD-liability")),
+    ("ISC", ("ISC-grant", "ISC-warranty", "ISC-liability")),
+    ("0BSD", ("0BSD-grant", "ISC-warranty", "ISC-liability")),
+    ("Zlib", ("Zlib-warranty", "Zlib-liability", "Zlib-grant")),
+    ("Unlicense", ("Unlicense-grant", "Unlicense-free")),
     ("MIT", ("MIT-grant", "MIT-notice")),
     ("BSD-3-Clause", ("BSD-grant", "BSD-source", "BSD-binary", "BSD-endorse")),
     ("BSD-2-Clause", ("BSD-grant", "BSD-source", "BSD-binary")),
@@ -79,6 +112,9 @@ RULES = (
     ("ISC", ("ISC-grant",)),
     ("Unlicense", ("Unlicense-grant",)),
     ("MPL-2.0", ("MPL-2-ref",)),
+    ("BSL-1.0", ("BSL-1-ref",)),
+    ("EPL-2.0", ("EPL-2-ref",)),
+    ("CC0-1.0", ("CC0-waiver",)),
     ("Apache-2.0", ("Apache-2-ref",)),
     ("GPL-3.0-only", ("GPL-3-ref",)),
     ("GPL-2.0-only", ("GPL-2-ref",)),
@@ -89,7 +125,7 @@ RULES = (
     ("MIT", ("MIT-title",)),
 )
 
-HINT = r"(?i)licen[cs]e|copyright|permi(ssion|tted)|warrant|redistribut|free[\s#/*-]+software|unencumbered|all[\s#/*-]+rights|mozilla\.org"
+HINT = r"(?i)licen[cs]e|copyright|permi(ssion|tted)|warrant|redistribut|free[\s#/*-]+software|unencumbered|all[\s#/*-]+rights|no[\s#/*-]+event|anyone|mozilla\.org"
 
 
 #: Any known sentence between two boundaries, the longest first.
@@ -110,18 +146,26 @@ def identifiers(text: Column) -> Column:
 
 def scanned(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, sequence, licenses, partial): known sentences, their identifiers in order, the licences that
-    rules explain (in rule order, each once), and whether identifiers are left over."""
+    rules explain (in rule order, each once), and whether identifiers are left over. What a rule has taken leaves a gap, which
+    no other rule spans."""
     text = F.coalesce("text", F.lit(""))
     ids = docs.select("doc_id", F.when(text.rlike(HINT), identifiers(text)).otherwise(F.array().cast("array<string>")).alias("ids"))
-    start = F.struct(F.concat(F.lit("|"), F.array_join("ids", "|"), F.when(F.size("ids") > 0, "|").otherwise("")).alias("rest"), F.array().cast("array<string>").alias("found"))
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("|" + "|".join(seq) + "|").alias("seq")) for name, seq in RULES])
+    start = F.struct(F.array_join(F.transform("ids", lambda x: F.concat(F.lit("|"), x, F.lit("|"))), "").alias("rest"), F.array().cast("array<string>").alias("found"))
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_sequence(seq)).alias("seq")) for name, seq in RULES])
 
     def fold(state: Column, rule: Column) -> Column:
         hit = F.contains(state["rest"], rule["seq"])
-        return F.struct(F.when(hit, F.replace(state["rest"], rule["seq"], F.lit("|"))).otherwise(state["rest"]).alias("rest"), F.when(hit & ~F.array_contains(state["found"], rule["name"]), F.array_append(state["found"], rule["name"])).otherwise(state["found"]).alias("found"))
+        return F.struct(F.when(hit, F.replace(state["rest"], rule["seq"], F.lit(GAP))).otherwise(state["rest"]).alias("rest"), F.when(hit & ~F.array_contains(state["found"], rule["name"]), F.array_append(state["found"], rule["name"])).otherwise(state["found"]).alias("found"))
 
     done = ids.withColumn("done", F.when(F.size("ids") > 0, F.aggregate(rules, start, fold)).otherwise(start))
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", "|").alias("sequence"), F.array_join("done.found", ",").alias("licenses"), (F.col("done.rest") != "|").alias("partial"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", "|").alias("sequence"), F.array_join("done.found", ",").alias("licenses"), (F.replace("done.rest", F.lit(GAP), F.lit("")) != "").alias("partial"))
+
+
+GAP = "/"
+
+
+def _sequence(seq: tuple[str, ...]) -> str:
+    return "".join(f"|{i}|" for i in seq)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,22 +173,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    """The same in DuckDB where known sentences stand on one line and hold no closing punctuation: one step of a chain of subqueries per rule."""
+    """The same in DuckDB, whose patterns can't look behind or ahead: each boundary is written twice, so that a sentence may
+    take one copy on each side. One step of a chain of subqueries per rule."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     known = "map([" + ", ".join(map(q, SENTENCES)) + "], [" + ", ".join(map(q, SENTENCES.values())) + "])"
-    steps = """
+    join = lambda w: f"(?:{re.escape(w[-1])} {re.escape(w[-1])} |{re.escape(w[-1])}\\n\\n)" if w[-1] in ".;!?" else re.escape(w[-1]) + "(?: |\\n\\n)"
+    twice = ["".join(re.escape(w[:-1]) + join(w) for w in s.split(" ")[:-1]) + re.escape(s.split(" ")[-1]) for s in sorted(SENTENCES, key=len, reverse=True)]
+    pattern = q("(?:^|\\n|[.;!?][ \\n])(" + "|".join(twice) + ")(?:[.;!?]*(?:\\n|$)|[.;!?]+ )")
+    steps = f"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-flat AS (SELECT doc_id, regexp_matches(text, '(?i)licen[cs]e|copyright|permi(ssion|tted)|warrant|redistribut|free software|unencumbered|all rights') AS hint,
-  regexp_replace(replace(text, chr(13), ''), '\\n[ \\t]*(#|//|\\*|--)*[ \\t]*', chr(10), 'g') AS t FROM base),
-cut AS (SELECT doc_id, hint, string_split(regexp_replace(t, '[.;!?]+[ \\t]+|[.;!?]+\\n', chr(10), 'g'), chr(10)) AS parts FROM flat),
-ids AS (SELECT doc_id, CASE WHEN hint THEN list_filter(list_transform(parts, lambda s:
-  KNOWN[regexp_replace(trim(regexp_replace(lower(s), '[ \\t]+', ' ', 'g')), '[.;!?]+$', '')]), lambda i: i IS NOT NULL) ELSE [] END AS ids FROM cut),
-s0 AS (SELECT doc_id, ids, '|' || array_to_string(ids, '|') || CASE WHEN len(ids) > 0 THEN '|' ELSE '' END AS rest, CAST([] AS VARCHAR[]) AS found FROM ids)""".replace("KNOWN", known)
+flat AS (SELECT doc_id, regexp_matches(text, {q(HINT)}) AS hint,
+  regexp_replace(replace(chr(10) || text, chr(13), ''), '\\n[ \\t]*(#|//|/\\*|\\*/|\\*|--)*[ \\t]*', chr(10), 'g') AS t FROM base),
+plain AS (SELECT doc_id, hint, regexp_replace(regexp_replace(trim(lower(t), ' '), '[ \\t]+', ' ', 'g'), ' ?\\n', chr(10), 'g') AS t FROM flat),
+twice AS (SELECT doc_id, hint, regexp_replace(replace(regexp_replace(t, '\\n(?:[-•]|\\(?[0-9a-z]{{1,2}}\\)) ', chr(10) || chr(10), 'g'), chr(10), chr(10) || chr(10)), '([.;!?]) ', '\\1 \\1 ', 'g') AS t FROM plain),
+ids AS (SELECT doc_id, CASE WHEN hint THEN list_transform(regexp_extract_all(t, {pattern}, 1),
+  lambda s: KNOWN[regexp_replace(replace(s, chr(10) || chr(10), ' '), '([.;!?]) [.;!?] ', '\\1 ', 'g')]) ELSE [] END AS ids FROM twice),
+s0 AS (SELECT doc_id, ids, array_to_string(list_transform(ids, lambda i: '|' || i || '|'), '') AS rest, CAST([] AS VARCHAR[]) AS found FROM ids)""".replace("KNOWN", known)
     for k, (name, seq) in enumerate(RULES):
-        s = q("|" + "|".join(seq) + "|")
+        s = q(_sequence(seq))
         steps += f""",
-s{k + 1} AS (SELECT doc_id, ids, replace(rest, {s}, '|') AS rest,
+s{k + 1} AS (SELECT doc_id, ids, replace(rest, {s}, '{GAP}') AS rest,
   CASE WHEN contains(rest, {s}) AND NOT list_contains(found, {q(name)}) THEN list_append(found, {q(name)}) ELSE found END AS found FROM s{k})"""
     return steps + f"""
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, '|') AS sequence,
-  array_to_string(found, ',') AS licenses, rest <> '|' AS partial FROM s{len(RULES)}"""
+  array_to_string(found, ',') AS licenses, replace(rest, '{GAP}', '') <> '' AS partial FROM s{len(RULES)}"""

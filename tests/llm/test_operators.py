@@ -485,6 +485,67 @@ def test_wrapped_licences(spark, mark):
     assert got[99]["sequence"] == "MIT-title|Reserved"
 
 
+def hard_licences():
+    r = random.Random(2)
+    known, sequences = list(licenses.SENTENCES), [seq for _, seq in licenses.RULES]
+    text_of = {i: s for s, i in licenses.SENTENCES.items()}
+    out = ["Licensed under the MIT License. Licensed under the MIT License.", "MIT License\n\nMIT License", "see: mit license", "MIT Licensed", "x. MIT License; y", "MIT License!? All rights reserved...", "all\nrights reserved", "(a) MIT License\r\n- All rights reserved.\r\n"]
+    for _ in range(160):
+        parts = [text_of[i] for i in r.choice(sequences)] if r.random() < 0.6 else [r.choice(known) for _ in range(r.randrange(1, 4))]
+        marks = [r.choice(["", ".", ".", ";", "!?"]) + r.choice([" ", "\n", "\n\n", "  ", " \n\t", "\n- ", "\n1) "]) for _ in parts]
+        text = "".join((x if r.random() < 0.8 else x.upper()) + m for x, m in zip(parts, marks))
+        if r.random() < 0.5:
+            text = "\n".join(r.choice(["", "# ", " * "]) + line for line in textwrap.wrap(text, r.choice([20, 50, 90]), replace_whitespace=False, break_long_words=False))
+        out.append(r.choice(["", "Intro text. ", "word "]) + text)
+    return out
+
+
+def brute_licences(text):
+    """Sentences by a walk over the text's boundaries, rules by lists: independent of the operator's and the SQL's patterns."""
+    lines = [re.sub(r"^[ \t]*(?:#|//|/\*|\*/|\*|--)*[ \t]*", "", line) for line in text.replace("\r", "").split("\n")]
+    flat = "\n".join(lines).lower()
+    flat = re.sub(r" ?\n", "\n", re.sub(r"[ \t]+", " ", "\n" + flat).strip(" "))
+    flat = re.sub(r"\n(?:[-•]|\(?[0-9a-z]{1,2}\)) ", "\n\n", flat)
+    one, at, ids = flat.replace("\n", " "), 0, []
+    by_length = sorted(licenses.SENTENCES, key=len, reverse=True)
+    while at < len(flat):
+        begins = at == 0 or flat[at - 1] == "\n" or (flat[at - 1] == " " and at > 1 and flat[at - 2] in ".;!?")
+        for s in by_length if begins else ():
+            end = at + len(s)
+            tail = flat[end:].lstrip(".;!?")
+            closed = not tail or tail[0] == "\n" or (len(tail) < len(flat) - end and tail[0] == " ")
+            if one[at:end] == s and closed:
+                ids.append(licenses.SENTENCES[s])
+                at = end - 1
+                break
+        at += 1
+    rest, names = list(ids), []
+    for name, seq in licenses.RULES:
+        k = 0
+        while k + len(seq) <= len(rest):
+            if tuple(rest[k : k + len(seq)]) == seq:
+                rest[k : k + len(seq)] = [None]
+                names += [name] * (name not in names)
+            k += 1
+    return len(ids), "|".join(ids), ",".join(names), any(rest)
+
+
+def test_licences_against_brute_force_and_sql(spark):
+    import duckdb
+
+    rows = list(enumerate(hard_licences()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    columns = ("n_sentences", "sequence", "licenses", "partial")
+    by_sql = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, {', '.join(columns)} FROM ({licenses.sql()})").fetchall()}
+    by_spark = {r["doc_id"]: tuple(r[c] for c in columns) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert by_spark[i] == brute_licences(text), text
+        assert by_sql[i] == by_spark[i], text
+    assert by_spark[0][2:] == ("MIT", False)
+
+
 # -- 10: pieces
 
 
