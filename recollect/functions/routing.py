@@ -19,18 +19,18 @@ COUNT_CUES = ("how many", "how much", "count", "number of", "list all", "list th
 # Words of dates, and patterns of questions for advice, for changes, about earlier replies, for a broad view.
 DATE_WORD = r"^(19|20)[0-9]{2}$|^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(uary|ruary|ch|il|e|y|ust|tember|ober|ember)?$"
 ADVICE = (
-    r"(?i)\b(recommend\w*|suggest\w*|propose)\b|what should i|what would you (recommend|suggest|do)"
-    r"|any (advice|ideas?|tips|suggestions?|recommendations?|thoughts)|do you have any (advice|ideas?|tips|suggestions?|recommendations?)"
-    r"|(do you think|what do you think).{0,40}(good idea|should|better|worth|might|would)"
-    r"|good idea to|help me (find|pick|choose|decide)|worth (it|trying|buying)"
+    r"(?i)\b(?:recommend\w*|suggest\w*|propose)\b|what should i|what would you (?:recommend|suggest|do)"
+    r"|any (?:advice|ideas?|tips|suggestions?|recommendations?|thoughts)|do you have any (?:advice|ideas?|tips|suggestions?|recommendations?)"
+    r"|(?:do you think|what do you think).{0,40}(?:good idea|should|better|worth|might|would)"
+    r"|good idea to|help me (?:find|pick|choose|decide)|worth (?:it|trying|buying)"
 )
 CHANGES = (
-    r"(?i)\bwhat('s|s| has| have)?\s+chang|\bwhat\s+changed\b|\bchang(ed|es|ing)\s+(recently|lately|over\s+time)\b|\brecently\s+chang"
-    r"|\bwhat('s|s)?\s+new\b|\bwhat\s+(was|were|got|have\s+been|has\s+been)\s+updat|\bupdat(ed|es|ing)\s+(recently|lately)\b"
+    r"(?i)\bwhat(?:'s|s| has| have)?\s+chang|\bwhat\s+changed\b|\bchang(?:ed|es|ing)\s+(?:recently|lately|over\s+time)\b|\brecently\s+chang"
+    r"|\bwhat(?:'s|s)?\s+new\b|\bwhat\s+(?:was|were|got|have\s+been|has\s+been)\s+updat|\bupdat(?:ed|es|ing)\s+(?:recently|lately)\b"
     r"|\bwhat\s+has\s+changed\b|\bover\s+time\b"
 )
-RECALL = r"(?i)\byou (provided|gave|created|generated|suggested|recommended|told|said|wrote|listed|shared|mentioned|helped)|our (previous |last |earlier )?(conversation|discussion|chat)|we (discussed|talked)"
-BROAD = r"(?is)\b(summar\w*|recap|overview|comprehensive|walk me through|how (has|have) .{0,60}?(progress|evolv|chang|develop)|(progression|evolution|journey) of)\b"
+RECALL = r"(?i)\byou (?:provided|gave|created|generated|suggested|recommended|told|said|wrote|listed|shared|mentioned|helped)|our (?:previous |last |earlier )?(?:conversation|discussion|chat)|we (?:discussed|talked)"
+BROAD = r"(?is)\b(?:summar\w*|recap|overview|comprehensive|walk me through|how (?:has|have) .{0,60}?(?:progress|evolv|chang|develop)|(?:progression|evolution|journey) of)\b"
 # Ability labels and the class of question they stand for.
 ABILITIES = {
     "temporal": "temporal", "temporal_reasoning": "temporal", "knowledge_update": "knowledge_update",
@@ -82,3 +82,28 @@ def depth(text: Column, scan: float = 0.3, top_k: int = 20, deep_scan: float = 1
         F.when(deep | counting, deep_scan).otherwise(scan).alias("scan"),
         F.when(deep, deep_k).when(counting, counting_k).otherwise(top_k).alias("top_k"),
     )
+
+
+def is_changelog(text: Column) -> Column:
+    """The question asks what has changed, not what is."""
+    return F.coalesce(text, F.lit("")).rlike(CHANGES)
+
+
+def search_depth(text: Column, top_k: int = 20, reasoning_k: int = 50) -> Column:
+    """(search, answer): a search reads more for reasoning questions that don't ask for advice, an answer for all of them."""
+    reasoning = is_reasoning(text)
+    return F.struct(F.when(reasoning & ~text.rlike(ADVICE), reasoning_k).otherwise(top_k).alias("search"), F.when(reasoning, reasoning_k).otherwise(top_k).alias("answer"))
+
+
+def budget(facts: Column, scan: float = 0.3, full_below: int = 500) -> Column:
+    """A small store is scanned whole."""
+    return F.when(facts < full_below, 1.0).otherwise(scan)
+
+
+def lanes(method: Column) -> Column:
+    return F.when(method == "coremem_atomic", F.array(F.lit("atomic"))).when(method == "coremem", F.array(F.lit("verbatim"))).otherwise(F.array(F.lit("verbatim"), F.lit("atomic")))
+
+
+def allowed_action(action: Column, allowed: Column) -> Column:
+    """An action out of turn becomes a search, or a reflection where no search is allowed."""
+    return F.when(F.array_contains(allowed, action), action).when(F.array_contains(allowed, F.lit("search")), "search").otherwise("reflect")

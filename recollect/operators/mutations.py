@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def upserted(bank: DataFrame, batch: DataFrame) -> DataFrame:
     """The batch's rows to append: ids that are neither in the bank nor earlier in the batch (by pos)."""
-    first = Window.partitionBy("fact_id").orderBy("pos")
-    fresh = batch.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return fresh.join(bank.select("fact_id"), "fact_id", "left_anti")
+    return firsts(batch).join(bank.select("fact_id"), "fact_id", "left_anti")
+
+
+def firsts(facts: DataFrame) -> DataFrame:
+    """The first row by pos of each fact_id. Copies of a very common fact fall together in each task before any shuffle."""
+    rest = [c for c in facts.columns if c != "fact_id"]
+    return facts.groupBy("fact_id").agg(F.min_by(F.struct(*rest), "pos").alias("_first")).select("fact_id", "_first.*").select(facts.columns)
 
 
 def existing_ids(bank: DataFrame, ids: DataFrame) -> DataFrame:
@@ -24,6 +28,13 @@ def superseded(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.withColumns({"superseded_by": F.coalesce("_new", "superseded_by"), "valid_to": F.coalesce("_to", "valid_to")}).select(facts.columns)
 
 
+def valid_until(facts: DataFrame, ids: DataFrame) -> DataFrame:
+    """facts with valid_to set by (fact_id, until), whatever it was."""
+    marks = ids.select(F.col("fact_id").alias("_id"), F.col("until").alias("_until"))
+    out = facts.join(marks, F.col("fact_id") == F.col("_id"), "left")
+    return out.withColumn("valid_to", F.when(F.col("_id").isNotNull(), F.col("_until")).otherwise(F.col("valid_to"))).select(facts.columns)
+
+
 def deleted(facts: DataFrame, ids: DataFrame) -> DataFrame:
     """facts without ids; what a deleted fact had closed is open again."""
     gone = ids.select(F.col("fact_id").alias("_gone")).distinct()

@@ -5,8 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that say that something may change.
-CHANGING = r"(?i)\b(moved|switched to|raised|became|changed|currently|now|notify|notification|breach|liability|cap|timeout)\b"
+# Words that say that something may change.
+CHANGING = (
+    r"(?i)\b(rent|lease|salary|wage|lives?\s+in|moved\s+to|relocated|employer|works?\s+at|job|role|married|divorced|prefer"
+    r"|switched\s+to|raised|became|changed|now\s+|currently|notify|notification|breach|liability|cap|timeout)\b"
+)
+#: Words of one side of life, and the token that stands for it beside them: facts about the same side are more alike.
+ASPECTS = {
+    "home": ("live", "lives", "lived", "living", "moved", "moving", "relocated", "resides", "rent", "lease", "apartment"),
+    "work": ("work", "works", "working", "job", "role", "employer", "salary", "wage", "hired", "promoted"),
+    "family": ("married", "divorced", "engaged", "widowed"),
+    "taste": ("prefer", "prefers", "favorite", "favourite", "switched"),
+}
+
+
+def aspect_tokens(tokens: Column) -> Column:
+    """The tokens, and twice each aspect that they touch."""
+    touched = [F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, words))), F.lit("@" + name)) for name, words in ASPECTS.items()]
+    found = F.filter(F.array(*touched), lambda a: a.isNotNull())
+    return F.concat(tokens, found, found)
 
 
 def active(as_of: Column, ts: Column, superseded_by: Column, valid_to: Column, history: bool = False) -> Column:

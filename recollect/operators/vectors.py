@@ -128,3 +128,9 @@ def hashed(rows: DataFrame, keys: list[str], tokens: Column, dim: int = 256) ->
     sums = parts.select(*keys, slot, sign.alias("s")).groupBy(*keys, "i").agg(F.sum("s").alias("v")).where("v <> 0")
     length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*keys)).cast("double"))
     return sums.withColumn("v", F.round(F.col("v") / length, 6))
+
+
+def dense(parts: DataFrame, keys: list[str], dim: int = 256) -> DataFrame:
+    """(keys, vector) from the sparse components of hashed()."""
+    held = parts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
+    return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0))).alias("vector"))

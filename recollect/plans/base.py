@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import dates, text
+from recollect.operators import mutations
 
 FACT_COLUMNS = ["fact_id", "pos", "kind", "text", "ts", "subject", "entities", "time_bucket", "doc_id", "source_session", "source_ref", "source_speaker"]
 
@@ -47,8 +48,7 @@ def _facts(rows: DataFrame, kind: str) -> DataFrame:
 
 def first_of_each(facts: DataFrame) -> DataFrame:
     """The first row by position of each fact_id."""
-    first = Window.partitionBy("fact_id").orderBy("pos")
-    return facts.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
+    return mutations.firsts(facts)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

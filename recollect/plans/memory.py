@@ -1,7 +1,9 @@
 """A memory over a folder of fact tables: add, search as of a date, delete, forget, with receipts.
 
-Each change writes a new version folder and then a pointer row; a reader takes the latest pointer, so an unfinished write is
-never seen. Encoder, distiller and reader are functions that a user may replace; the defaults are deterministic."""
+Each change writes a new version folder; a reader takes the latest one that is complete, so an unfinished write is never seen.
+One writer at a time: of two that start from one version, the second fails, as its folder is there. `add` rewrites the bank,
+which suits the small interactive store that this is; `streaming.ingest` appends. Encoder and reader are functions that a user
+may replace; the defaults are deterministic."""
 
 from __future__ import annotations
 
@@ -32,9 +34,50 @@ class Receipt:
     buckets: list[str] = field(default_factory=list)
 
 
+def as_sessions(content) -> list[list[tuple[str, str]]]:  # noqa: ANN001
+    """Sessions of (role, text) turns from a text, a message, a list of messages or a list of such lists. A message is a pair
+    or has `role` (by default the user's) and `content`."""
+    if content is None or content == "":
+        return []
+    if isinstance(content, str):
+        return [[("user", content.strip())]] if content.strip() else []
+    if isinstance(content, dict):
+        said = (content.get("content") or "").strip()
+        return [[(content.get("role", "user"), said)]] if said else []
+    if isinstance(content[0], list):
+        return [turns for session in content for turns in as_sessions(session)]
+    return [[(m.get("role", "user"), m.get("content") or "") if isinstance(m, dict) else tuple(m) for m in content]]
+
+
+def retried(call, attempts: int = 6, first: float = 1.0, most: float = 30.0, sleep=None):  # noqa: ANN001, ANN201
+    """call()'s result; after an error again, up to `attempts` times, with waits that double up to `most` seconds and vary."""
+    import random
+    import time
+
+    for n in range(attempts):
+        try:
+            return call()
+        except Exception:
+            if n == attempts - 1:
+                raise
+            (sleep or time.sleep)(min(most, first * 2**n) * random.uniform(0.5, 1.0))
+
+
+def hashing_encoder(rows: DataFrame) -> DataFrame:
+    """(fact_id, vector) from (fact_id, text): signed hashing of tokens and of the sides of life they touch."""
+    from recollect.operators import vectors
+
+    return vectors.dense(vectors.hashed(rows, ["fact_id"], validity.aspect_tokens(text.tokens(F.col("text")))), ["fact_id"])
+
+
 class Memory:
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    """encoder: (fact_id, text) rows to (fact_id, vector) rows. A new fact closes the most similar older one of its subject at
+    `threshold`; under `sure` they must share an entity or both be of a kind that changes. The default threshold suits the
+    default encoder."""
+
+    def __init__(self, spark: SparkSession, folder: str, encoder=hashing_encoder, threshold: float = 0.4, sure: float = 0.88) -> None:  # noqa: ANN001
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.encoder, self.threshold, self.sure = encoder, threshold, sure
 
     def _fs(self):  # noqa: ANN202
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -54,9 +97,34 @@ class Memory:
     def _write(self, rows: DataFrame) -> None:
         rows.write.parquet(f"{self.folder}/v{self.version() + 1}")
 
+    def clear(self) -> None:
+        """All facts go; earlier versions stay readable in the folder until it is dropped."""
+        self._write(self.facts().limit(0))
+
+    def get(self, fact_id: str) -> dict | None:
+        row = self.facts().where(F.col("fact_id") == fact_id).head()
+        return row.asDict() if row else None
+
+    def set_valid_to(self, fact_id: str, until: str | None) -> bool:
+        """Override a fact's end; False where there is no such fact."""
+        bank = self.facts()
+        if bank.where(F.col("fact_id") == fact_id).isEmpty():
+            return False
+        when = dates.parsed(F.lit(until)) if until else F.lit(None).cast("timestamp_ntz")
+        self._write(mutations.valid_until(bank, self.spark.createDataFrame([(fact_id,)], "fact_id string").withColumn("until", when)))
+        return True
+
+    def documents(self) -> DataFrame:
+        """(doc_id, sessions, facts): the documents that facts come from."""
+        return self.facts().groupBy("doc_id").agg(F.countDistinct("source_session").alias("sessions"), F.count("*").alias("facts"))
+
+    def add_all(self, content, day: str | None = None, subject: str = "", doc_id: str = "") -> int:  # noqa: ANN001
+        """add() for whatever as_sessions() reads."""
+        return sum(self.add(turns, day, subject, doc_id) for turns in as_sessions(content))
+
     def add(self, turns: list[tuple[str, str]], day: str | None = None, subject: str = "", doc_id: str = "") -> int:
-        """Store a session of (role, text) turns; returns how many facts are new. A dated statement with words of change
-        closes earlier ones that share an entity with it."""
+        """Store a session of (role, text) turns; returns how many facts are new. New facts close older ones that they
+        replace (validity.supersessions)."""
         bank = self.facts()
         at = bank.agg(F.coalesce(F.max("pos"), F.lit(-1))).head()[0] + 1
         session = f"session:{at}"
@@ -76,8 +144,12 @@ class Memory:
 
     def _linked(self, bank: DataFrame, fresh: DataFrame) -> DataFrame:
         changing = F.col("text").rlike(validity.CHANGING)
-        side = lambda df: df.select("fact_id", "pos", "ts", F.array(F.lit(1.0)).alias("unit"), F.col("entities").alias("tags"), changing.alias("changing"), F.col("subject").alias("bucket"))
-        pairs = validity.supersessions(side(fresh.where(changing)), side(bank.where("superseded_by = ''")), 0.78, 1.1)
+
+        def side(rows: DataFrame) -> DataFrame:
+            coded = self.encoder(rows.select("fact_id", "text")).select("fact_id", F.col("vector").alias("unit"))
+            return rows.join(coded, "fact_id").select("fact_id", "pos", "ts", "unit", F.col("entities").alias("tags"), changing.alias("changing"), F.col("subject").alias("bucket"))
+
+        pairs = validity.supersessions(side(fresh.where("source_speaker = 'user'")), side(bank.where("superseded_by = '' and source_speaker = 'user'")), self.threshold, self.sure)
         return mutations.superseded(bank, pairs)
 
     def search(self, question: str, as_of: str | None = None, top_k: int = 10, history: bool = False) -> DataFrame:

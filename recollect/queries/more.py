@@ -214,10 +214,13 @@ def verbatim_timeline(spark, sf):
     return d.withColumn("k", k).where("k <= 80").select("doc_id", "pos", F.concat("day", F.lit(': "'), "head", F.lit('"')).alias("quote"))
 
 
-@query("warm_jobs", "WITH k AS (SELECT conv_id, turn, sha1(role || ':' || substr(text, 1, 20)) AS key FROM conversations) SELECT key, min(conv_id * 1000 + turn) AS first FROM k GROUP BY key")
+@query("warm_jobs", "SELECT conv_id, sha1('ingest' || chr(31) || conv_id || chr(31) || string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS key, sum(length(text)) AS chars FROM conversations GROUP BY conv_id")
 def warm_jobs(spark, sf):
-    key = F.sha1(F.concat("role", F.lit(":"), F.substring("text", 1, 20)))
-    return base.table(spark, sf, "conversations").groupBy(key.alias("key")).agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("first"))
+    """A job per session, keyed by its number and whole transcript."""
+    lines = base.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", F.concat("role", F.lit(": "), "text").alias("line"))
+    whole = lines.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "line"))).alias("t"), F.sum(F.length("text")).alias("chars"))
+    transcript = F.array_join(F.transform("t", lambda x: x["line"]), "\n")
+    return whole.select("conv_id", F.sha1(F.concat_ws("\x1f", F.lit("ingest"), F.col("conv_id").cast("string"), transcript)).alias("key"), "chars")
 
 
 @query("fallback_estimate", "SELECT conv_id, sum(length(text)) // 4 AS prompt_tokens FROM conversations GROUP BY conv_id")

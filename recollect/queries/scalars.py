@@ -143,14 +143,13 @@ def extract_years(spark, sf):
 _CUE = lambda cues: "len(list_filter(" + sql_list(cues) + ", lambda c: contains(lower(text), c))) > 0"
 _DATE = "len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: regexp_matches(w, " + _q(routing.DATE_WORD) + "))) > 0"
 _CLASS = f"CASE WHEN {_CUE(routing.UPDATE_CUES)} THEN 'knowledge_update' WHEN {_CUE(routing.TEMPORAL_CUES)} OR {_DATE} THEN 'temporal' WHEN {_CUE(routing.COUNT_CUES)} THEN 'aggregation' ELSE 'general' END"
-_ASKED = f"""asked AS (SELECT conv_id, turn, substr(text, 1 + CAST(turn AS INTEGER) * 7, 40) || {sql_list(['', ' how many', ' what has changed', ' when in May 2021', ' please recommend one', ' you told me', ' summarize it', ' list all'])}[conv_id % 8 + 1] AS text FROM conversations)"""
+_ASKED = f"""asked AS (SELECT conv_id, turn, text || {sql_list(['', ' how many', ' what has changed', ' when in May 2021', ' please recommend one', ' you told me', ' summarize it', ' list all'])}[conv_id % 8 + 1] AS text FROM conversations)"""
 TAILS = ["", " how many", " what has changed", " when in May 2021", " please recommend one", " you told me", " summarize it", " list all"]
 
 
 def _asked(spark, sf):
     tail = F.try_element_at(F.array(*map(F.lit, TAILS)), (F.col("conv_id") % 8 + 1).cast("int"))
-    head = F.expr("substring(text, cast(1 + turn * 7 as int), 40)")
-    return base.table(spark, sf, "conversations").select("conv_id", "turn", F.concat(head, tail).alias("text"))
+    return base.table(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", tail).alias("text"))
 
 
 @query("route_query", f"WITH {_ASKED}, c AS (SELECT conv_id, turn, {_CLASS} AS class FROM asked) SELECT conv_id, turn, class, CASE WHEN class IN ('temporal', 'knowledge_update') THEN 'temporal' ELSE 'plain' END AS organization, class <> 'general' AS reasoning FROM c")
@@ -160,13 +159,13 @@ def route_query(spark, sf):
     return _asked(spark, sf).select("conv_id", "turn", c.alias("class"), routing.organization(c).alias("organization"), routing.is_reasoning(t).alias("reasoning"))
 
 
-@query("adaptive_depth", f"""WITH {_ASKED}, d AS (SELECT conv_id, turn, conv_id % 8 IN (5, 6) AS deep, {_CUE(routing.COUNT_CUES)} AS counting FROM asked)
+@query("adaptive_depth", f"""WITH {_ASKED}, d AS (SELECT conv_id, turn, regexp_matches(text, {_q(routing.RECALL)}) OR regexp_matches(text, {_q(routing.BROAD)}) AS deep, {_CUE(routing.COUNT_CUES)} AS counting FROM asked)
 SELECT conv_id, turn, CASE WHEN deep OR counting THEN 1.0::DOUBLE ELSE 0.3 END AS scan, CASE WHEN deep THEN 60 WHEN counting THEN 50 ELSE 20 END AS top_k FROM d""")
 def adaptive_depth(spark, sf):
     return _asked(spark, sf).select("conv_id", "turn", routing.depth(F.col("text")).alias("d")).select("conv_id", "turn", "d.scan", "d.top_k")
 
 
-@query("choose_reader", f"WITH {_ASKED} SELECT conv_id, turn, CASE WHEN conv_id % 8 = 4 THEN 'recommendation' WHEN {_CLASS} <> 'general' THEN 'reasoning' ELSE 'dated' END AS reader FROM asked")
+@query("choose_reader", f"WITH {_ASKED} SELECT conv_id, turn, CASE WHEN regexp_matches(text, {_q(routing.ADVICE)}) THEN 'recommendation' WHEN {_CLASS} <> 'general' THEN 'reasoning' ELSE 'dated' END AS reader FROM asked")
 def choose_reader(spark, sf):
     return _asked(spark, sf).select("conv_id", "turn", routing.reader(F.col("text")).alias("reader"))
 

@@ -127,12 +127,19 @@ def explain(spark, sf):
     return _pool(spark, sf).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5").select("query_id", "id", "utility", "cosine", "place")
 
 
-@query("multihop_max", SQL_NEAR + """, hop AS (SELECT a.query_id, b.id, a.cosine * b.cosine AS c FROM near a JOIN near b ON a.id = b.query_id UNION ALL SELECT query_id, id, cosine FROM near)
+SQL_HOPS = SQL_NEAR + """, far AS (SELECT * FROM (SELECT q.id AS query_id, v.id, round(list_inner_product(q.vector, v.vector), 6) AS cosine, row_number() OVER (PARTITION BY q.id ORDER BY round(list_inner_product(q.vector, v.vector), 6) DESC, v.id) AS place
+FROM v, (SELECT * FROM v WHERE id IN (SELECT id FROM near)) q) WHERE place <= 20)"""
+
+
+@query("multihop_max", SQL_HOPS + """, hop AS (SELECT a.query_id, b.id, a.cosine * b.cosine AS c FROM near a JOIN far b ON a.id = b.query_id UNION ALL SELECT query_id, id, cosine FROM near)
 SELECT query_id, id, round(max(c), 6) AS cosine FROM hop GROUP BY query_id, id""")
 def multihop_max(spark, sf):
-    """The pool of two hops: what the first hop's hits lead to, each at its best score."""
+    """The pool of two hops over all vectors: what the first hop's hits lead to, each at its best score."""
+    v = _vectors(spark, sf)
     near = _near(spark, sf).select("query_id", "id", "cosine")
-    second = near.alias("a").join(near.alias("b"), F.col("a.id") == F.col("b.query_id")).select("a.query_id", "b.id", (F.col("a.cosine") * F.col("b.cosine")).alias("cosine"))
+    bridges = near.select("id").distinct().join(v, "id").select(F.col("id").alias("query_id"), "vector")
+    far = vectors.dense_topk(v, bridges, 20).select(F.col("query_id").alias("id"), F.col("id").alias("next"), F.col("cosine").alias("then"))
+    second = near.join(far, "id").select("query_id", F.col("next").alias("id"), (F.col("cosine") * F.col("then")).alias("cosine"))
     return second.union(near).groupBy("query_id", "id").agg(F.round(F.max("cosine"), 6).alias("cosine"))
 
 
@@ -195,14 +202,14 @@ def encode_hash(spark, sf):
 
 
 @query("j_supersede", """WITH f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS u, label, CASE WHEN vec_id % 5 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(vec_id % 97 AS INTEGER)) END AS ts, vec_id % 3 AS tag, vec_id % 4 = 0 AS ch FROM embeddings),
-p AS (SELECT n.vec_id AS new_id, n.ts AS nts, o.vec_id AS old_id, round(list_inner_product(n.u, o.u), 6) AS s, n.tag = o.tag AS shared, n.ch AND o.ch AS ch FROM f n JOIN f o ON n.label = o.label AND n.vec_id <> o.vec_id AND n.vec_id % 2 = 1 AND o.vec_id % 2 = 0 AND (n.ts IS NULL OR (o.ts IS NOT NULL AND n.ts > o.ts))),
+p AS (SELECT n.vec_id AS new_id, n.ts AS nts, o.vec_id AS old_id, round(list_inner_product(n.u, o.u), 6) AS s, n.tag = o.tag AS shared, n.ch AND o.ch AS ch FROM f n JOIN f o ON n.label = o.label AND n.vec_id <> o.vec_id AND (n.ts IS NULL OR (o.ts IS NOT NULL AND n.ts > o.ts))),
 b AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY s DESC, old_id DESC) AS k FROM p WHERE s >= 0.3 AND (s >= 0.45 OR shared OR ch)),
 o AS (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY nts DESC NULLS LAST, CASE WHEN nts IS NULL THEN -new_id ELSE new_id END DESC) AS j FROM b WHERE k = 1)
 SELECT old_id, new_id, strftime(nts, '%Y-%m-%d') AS valid_to FROM o WHERE j = 1""")
 def j_supersede(spark, sf):
     ts = F.when(F.col("vec_id") % 5 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 97).cast("int")).cast("timestamp_ntz"))
     facts = base.table(spark, sf, "embeddings").select(F.col("vec_id").alias("fact_id"), F.col("vec_id").alias("pos"), ts.alias("ts"), F.col("embedding").alias("unit"), F.array((F.col("vec_id") % 3).cast("string")).alias("tags"), (F.col("vec_id") % 4 == 0).alias("changing"), F.col("label").alias("bucket"))
-    return validity.supersessions(facts.where("fact_id % 2 = 1"), facts.where("fact_id % 2 = 0"), 0.3, 0.45).withColumn("valid_to", F.date_format("valid_to", "yyyy-MM-dd"))
+    return validity.supersessions(facts, facts, 0.3, 0.45).withColumn("valid_to", F.date_format("valid_to", "yyyy-MM-dd"))
 
 
 # -- lexical

@@ -182,7 +182,7 @@ _HEADER = re.compile(rf"^(?:\[{_STAMP}\]\s*|{_STAMP}\s+-\s+)(.*)$")
 _MEDIA = re.compile(r"(?i)^(<media omitted>|<attached:[^>]*>|(image|video|audio|sticker|gif|document|contact card) omitted|this message was deleted\.?|you deleted this message\.?|null)$")
 _NOTICE = re.compile(
     r"(?i)messages and calls are end-to-end encrypted|created this group|created group |you were added|added you\b|joined using this group's invite link"
-    r"|changed the subject|changed this group's icon|changed the group description|pinned a message|turned o(n|ff) disappearing messages|your security code with"
+    r"|changed the subject|changed this group's icon|changed the group description|pinned a message|turned on disappearing messages|turned off disappearing messages|your security code with"
 )
 
 

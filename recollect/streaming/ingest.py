@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from recollect.operators.mutations import upserted
 from recollect.plans import base
@@ -34,7 +35,7 @@ def ingest(spark: SparkSession, source: str, bank: str, checkpoint: str, files_p
     def store(batch: DataFrame, number: int) -> None:
         rows = dated(batch)
         facts = base.verbatim(rows).unionByName(base.atomic(rows))
-        others = stored(spark, bank, facts.schema.add("batch", "long")).where(F.col("batch") != number)
+        others = stored(spark, bank, StructType([*facts.schema.fields, StructField("batch", LongType())])).where(F.col("batch") != number)
         new = upserted(others, facts).withColumn("batch", F.lit(number).cast("long"))
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(bank)
 

@@ -9,9 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.functions import dates, routing, text
+from recollect.functions import dates, parsing, routing, text
 from recollect.operators import mutations, validity, vectors
-from recollect.plans.memory import Memory
+from recollect.plans.memory import Memory, as_sessions, retried
 from recollect.sources import files
 from recollect.streaming import ingest
 
@@ -153,6 +153,47 @@ def test_stream_equals_batch(spark, tmp_path):
     assert again.count() == again.select("fact_id").distinct().count() == 6
 
 
+def test_a_move_closes_the_old_home_only(spark, tmp_path):
+    memory = Memory(spark, str(tmp_path / "m"))
+    memory.add([("user", "Ann lives in Paris")], "2024-01-10")
+    memory.add([("user", "Ann has a dog named Rex")], "2024-02-10")
+    memory.add([("user", "Ann moved to Rome")], "2024-03-01")
+    state = {r["text"]: r["superseded_by"] for r in memory.facts().collect()}
+    assert state["Ann lives in Paris"] and not state["Ann has a dog named Rex"] and not state["Ann moved to Rome"]
+    rex = memory.facts().where("text like '%Rex'").head()["fact_id"]
+    assert memory.get(rex)["text"].endswith("Rex") and memory.get("none") is None
+    assert memory.set_valid_to(rex, "2024-05-01") and not memory.set_valid_to("none", None)
+    assert str(memory.get(rex)["valid_to"].date()) == "2024-05-01"
+    assert memory.documents().head()["facts"] == 3
+    assert memory.add_all([{"role": "user", "content": "Bob likes tea"}, {"content": "and cake"}], doc_id="d") == 2
+    memory.clear()
+    assert memory.facts().isEmpty()
+
+
+def test_sessions_and_retries():
+    turn = [("user", "hi")]
+    assert [as_sessions(x) for x in ("", None, " hi ", {"content": "hi"}, {"content": " "}, [{"role": "user", "content": "hi"}], [[("user", "hi")], turn])] == [[], [], [turn], [turn], [], [turn], [turn, turn]]
+    waits, calls = [], iter([ValueError(), ValueError(), 7])
+
+    def call():
+        got = next(calls)
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+    assert retried(call, sleep=waits.append) == 7 and len(waits) == 2 and waits[1] <= 2
+
+
+def test_replies(spark):
+    reply = lambda f, t: one(spark, f(F.lit(t)))
+    assert [reply(parsing.label, t) for t in ('{"label": "Correct"}', 'so {"label": "maybe"}', "it is correct", "correct or wrong", "", "?")] == ["CORRECT", "MAYBE", "CORRECT", "WRONG", "WRONG", "WRONG"]
+    assert [reply(parsing.json_reply, t) for t in ('```json\n{"a": 1}\n```', ' {"a": 1} ', 'x {"a": 1} y', "none", "{a")] == ['{"a": 1}'] * 3 + [None, None]
+    assert [reply(parsing.json_list, t) for t in ("```\n[1]\n```", 'x [1, [2]] y', '{"a": [1]}', "[", None)] == ["[1]", "[1, [2]]", None, None, None]
+    assert one(spark, parsing.judged_score(F.lit("about 0.7."), F.lit("a"), F.lit("b"))) == 0.7 and one(spark, parsing.judged_score(F.lit("7"), F.lit("a"), F.lit("b"))) == 1.0
+    assert one(spark, parsing.judged_score(F.lit("none"), F.lit("the cat sat"), F.lit("cat cat"))) == 0.5
+    assert one(spark, routing.is_changelog(F.lit("What's changed lately?"))) and not one(spark, routing.is_changelog(F.lit("Where is it?")))
+
+
 def test_memory(spark, tmp_path):
     memory = Memory(spark, str(tmp_path / "m"))
     assert memory.facts().count() == 0
