@@ -1,17 +1,19 @@
 """Language-model scoring by a log-bilinear neural model trained with noise-contrastive estimation in numpy.
 
-Tokens are lower-cased (A-Z) words and one end per text. The model predicts an output unit from the two before it: the
+Tokens are lower-cased (A-Z) words and one end per text. The model predicts an output unit from the two before it: the up to
 ``TOP`` most frequent tokens are units of their own, all others share ``CLASSES`` units by their first letters, and inside a
-unit a token has its smoothed share of the unit's training count, so every token, also an unseen one, has a normalised
-probability. A context's vector is the sum of its units' vectors under position weights; a unit's score is its product with
-the unit's output vector plus a bias.
+shared unit a token has its smoothed share of the unit's training count, so every token, also an unseen one, has a normalised
+probability. Units of like frequency form clusters of ``MEMBERS``: a unit's probability is its cluster's times its own in the
+cluster, each normalised by batched matrix products, so a large vocabulary costs two small products a token. A context's
+vector is the sum of its units' vectors under position weights; a score is its product with an output vector plus a bias.
 
 1. Training counts of all tokens are gathered by hash (one shuffle of partial counts, a row per distinct token and task).
-2. Each task trains the model on its share of the training texts from a common start, against ``NOISE`` shared noise units a
-   batch; the parameters are averaged by their number of tokens in one aggregation. All training texts are used.
-3. Texts are dealt to groups of bounded bytes; a group's distinct tokens fetch their counts by a join, and each group is
-   scored with batched matrix products over its distinct contexts, normalised over all units. No vocabulary is broadcast
-   but the bounded units.
+2. Training texts become unit ids, equal ones are counted, and copies are dealt to shards of about ``SHARD_TOKENS`` tokens by
+   hash; a shard is trained in a fixed order from the common start against ``NOISE`` shared noise units a batch, and each
+   parameter row is averaged over the shards by how often it was used. All training texts are used, and the result depends on
+   the texts only, not on how they lie in partitions (but for the last bits of sums).
+3. Texts are dealt to groups of bounded bytes; a group's distinct rarer tokens fetch their counts by a join (frequent ones are
+   units, whose counts go along with the model), and each group is scored. No vocabulary is broadcast but the units.
 
 Defined cases: null text is empty (one token: the end); a null doc_id counts as the empty text in the hold-out rule;
 repeated rows are scored each; an empty training share leaves uniform units; an empty table gives an empty result; only
@@ -30,12 +32,12 @@ from pyspark.sql import functions as F
 from recollect.llm.textnum import LOWER, mix, slices, span_hashes, word_spans
 from recollect.plans.shared import cut
 
-TOP, CLASSES, WIDTH = 512, 64, 24
-NOISE, BATCH, RATE = 64, 2048, 0.05
+TOP, CLASSES, MEMBERS, WIDTH = 8192, 64, 128, 24
+NOISE, BATCH, RATE = 64, 4096, 0.05
+SHARD_TOKENS = 1 << 22
 GROUP_BYTES = 6 << 20
 END = np.uint64(0x1)
 SMOOTH = 0.1
-UNITS = TOP + CLASSES  # the end is a frequent token like others; unit UNITS as input: before the text
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,85 +58,90 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Units:
-    """Which unit a token belongs to, and the units' training totals. top: hashes by falling count."""
+    """Which unit a token belongs to, the units' training totals, their clusters. top: hashes by falling count (the end is a
+    frequent token like others); shared units follow. As an input, unit `size` stands before the text."""
 
     def __init__(self, top: np.ndarray, counts: np.ndarray, rare: dict[int, tuple[int, int]]) -> None:
+        self.top = len(top)
+        self.size = self.top + CLASSES
         self.order = np.argsort(top)
         self.sorted = top[self.order]
-        self.totals, self.kinds = np.zeros(UNITS), np.zeros(CLASSES)
-        self.totals[: len(counts)] = counts
+        self.totals, self.kinds = np.zeros(self.size), np.zeros(CLASSES)
+        self.totals[: self.top] = counts
         for k, (total, kinds) in rare.items():
-            self.totals[TOP + k], self.kinds[k] = total, kinds
+            self.totals[self.top + k], self.kinds[k] = total, kinds
         self.total = float(self.totals.sum())
+        whole = -(-self.top // MEMBERS)
+        self.cluster = np.concatenate([np.arange(self.top) // MEMBERS, whole + np.arange(CLASSES)])  # a shared unit is alone
+        self.clusters = whole + CLASSES
 
     def of(self, hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return kinds + TOP
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at], kinds + TOP)
+        if not self.top:
+            return kinds
+        at = np.minimum(np.searchsorted(self.sorted, hashes), self.top - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at], kinds + self.top)
 
     def shares(self) -> np.ndarray:
         """Smoothed unigram distribution of units: the start of the biases and the noise."""
-        return (self.totals + 1.0) / (self.total + UNITS)
+        return (self.totals + 1.0) / (self.total + self.size)
+
+    def cluster_shares(self) -> np.ndarray:
+        return np.bincount(self.cluster, weights=self.shares(), minlength=self.clusters)
 
     def inside(self, units: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Natural log of each token's share of its unit (0 for a unit of its own); unseen tokens have a count of 0."""
-        kind = np.maximum(units - TOP, 0)
-        share = (counts + SMOOTH) / (self.totals[kind + TOP] + SMOOTH * (self.kinds[kind] + 1))
-        return np.where(units < TOP, 0.0, np.log(share))
+        kind = np.maximum(units - self.top, 0)
+        share = (counts + SMOOTH) / (self.totals[kind + self.top] + SMOOTH * (self.kinds[kind] + 1))
+        return np.where(units < self.top, 0.0, np.log(share))
 
 
 class Model:
-    def __init__(self, shares: np.ndarray, seed: int = 7) -> None:
+    TABLES = ("inputs", "outputs", "groups", "positions")
+
+    def __init__(self, units: Units, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-        self.inputs = rng.normal(0, 0.1, (UNITS + 1, WIDTH)).astype(np.float32)
-        self.outputs = rng.normal(0, 0.1, (UNITS, WIDTH)).astype(np.float32)
-        self.positions = np.ones((2, WIDTH), np.float32)
-        self.bias = np.log(shares).astype(np.float32)
+        draw = lambda n: rng.normal(0, 0.1, (n, WIDTH + 1)).astype(np.float32)
+        # each table's last column is its rows' bias (unused in inputs and positions)
+        self.units, self.inputs, self.outputs, self.groups = units, draw(units.size + 1), draw(units.size), draw(units.clusters)
+        self.positions = np.ones((2, WIDTH + 1), np.float32)
+        self.outputs[:, -1], self.groups[:, -1] = np.log(units.shares()), np.log(units.cluster_shares())
 
     def vectors(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return self.inputs[first] * self.positions[0] + self.inputs[second] * self.positions[1]
-
-    def rows(self) -> np.ndarray:
-        """All parameters as rows of WIDTH + 1 (outputs carry their bias)."""
-        pad = lambda x, b=None: np.hstack([x, np.zeros((len(x), 1), np.float32) if b is None else b[:, None]])
-        return np.vstack([pad(self.inputs), pad(self.outputs, self.bias), pad(self.positions)])
+        return self.inputs[first, :-1] * self.positions[0, :-1] + self.inputs[second, :-1] * self.positions[1, :-1]
 
-    def load(self, rows: np.ndarray) -> Model:
-        rows = rows.astype(np.float32)
-        self.inputs, self.outputs, self.positions = rows[: UNITS + 1, :-1], rows[UNITS + 1 : 2 * UNITS + 1, :-1], rows[2 * UNITS + 1 :, :-1]
-        self.bias = rows[UNITS + 1 : 2 * UNITS + 1, -1]
-        return self
-
-    def log_normalisers(self, vectors: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def normalised(vectors: np.ndarray, table: np.ndarray, picks: np.ndarray) -> np.ndarray:
+        """Log-softmax over a table's rows at the picked one, for each vector."""
         out = np.empty(len(vectors))
-        for a in range(0, len(vectors), 4096):
-            scores = vectors[a : a + 4096] @ self.outputs.T + self.bias
-            top = scores.max(axis=1)
-            scores -= top[:, None]
-            np.exp(scores, out=scores)
-            out[a : a + 4096] = np.log(scores.sum(axis=1)) + top
+        for a in range(0, len(vectors), 8192):
+            scores = vectors[a : a + 8192] @ table[:, :-1].T + table[:, -1]
+            scores -= scores.max(axis=1)[:, None]
+            own = scores[np.arange(len(scores)), picks[a : a + 8192]]
+            out[a : a + 8192] = own - np.log(np.exp(scores).sum(axis=1, dtype=np.float64))
         return out
 
     def log_probabilities(self, first: np.ndarray, second: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Normalised natural log probabilities of units after contexts (first, second: the last and the one before it)."""
-        distinct, back = np.unique(first * (UNITS + 1) + second, return_inverse=True)
-        vectors = self.vectors(distinct // (UNITS + 1), distinct % (UNITS + 1))
-        normal = self.log_normalisers(vectors)
-        out = np.empty(len(units))
-        for a in range(0, len(units), 1 << 16):
-            c, u = back[a : a + (1 << 16)], units[a : a + (1 << 16)]
-            out[a : a + (1 << 16)] = np.einsum("ij,ij->i", vectors[c], self.outputs[u]) + self.bias[u] - normal[c]
+        vectors, cluster = self.vectors(first, second), self.units.cluster[units]
+        out = self.normalised(vectors, self.groups, cluster)
+        order = np.argsort(cluster, kind="stable")
+        cuts = np.searchsorted(cluster[order], np.arange(-(-self.units.top // MEMBERS) + 1))
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if a < b:
+                at, low = order[a:b], k * MEMBERS
+                out[at] += self.normalised(vectors[at], self.outputs[low : min(low + MEMBERS, self.units.top)], units[at] - low)
         return out
 
 
 class Trainer:
-    """Stochastic ascent of the noise-contrastive objective with per-parameter step sizes."""
+    """Stochastic ascent of the noise-contrastive objective with per-parameter step sizes, of units and of clusters."""
 
-    def __init__(self, model: Model, shares: np.ndarray, seed: int) -> None:
+    def __init__(self, model: Model, seed: int) -> None:
         self.model, self.rng, self.seen = model, np.random.default_rng(seed), 0
-        self.cumulative, self.log_noise = np.cumsum(shares), np.log(NOISE * shares).astype(np.float32)
-        self.squares = {n: np.full(getattr(model, n).shape, 1e-2, np.float32) for n in ("inputs", "outputs", "positions", "bias")}
+        shares = {"outputs": model.units.shares(), "groups": model.units.cluster_shares()}
+        self.noise = {n: (np.cumsum(p), np.log(NOISE * p).astype(np.float32)) for n, p in shares.items()}
+        self.squares = {n: np.full(getattr(model, n).shape, 1e-2, np.float32) for n in Model.TABLES}
+        self.used = {n: np.zeros(len(getattr(model, n)), np.int64) for n in Model.TABLES}
 
     def _step(self, name: str, rows: np.ndarray, slopes: np.ndarray) -> None:
         """Ascend on rows (repeats are summed first)."""
@@ -145,39 +152,45 @@ class Trainer:
         squares = self.squares[name]
         squares[at] += total * total
         getattr(self.model, name)[at] += RATE * total / np.sqrt(squares[at])
+        self.used[name][at] += np.diff(np.append(heads, len(rows)))
+
+    def _contrast(self, name: str, v: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """A step on one output table; the slope at the context vectors."""
+        table, (cumulative, log_noise) = getattr(self.model, name), self.noise[name]
+        noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE) * cumulative[-1]), len(table) - 1)
+        out, other = table[targets], table[noise]
+        real = np.einsum("ij,ij->i", v, out[:, :-1]) + out[:, -1] - log_noise[targets]
+        fake = v @ other[:, :-1].T + (other[:, -1] - log_noise[noise])
+        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
+        down = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
+        own = np.hstack([up[:, None] * v, up[:, None]])
+        against = np.hstack([down.T @ v, down.sum(axis=0)[:, None]])
+        slope = up[:, None] * out[:, :-1] + down @ other[:, :-1]
+        self._step(name, np.concatenate([targets, noise]), np.vstack([own, against]).astype(np.float32))
+        return slope
 
     def learn(self, first: np.ndarray, second: np.ndarray, units: np.ndarray) -> None:
         m = self.model
         for a in range(0, len(units), BATCH):
             f, s, u = first[a : a + BATCH], second[a : a + BATCH], units[a : a + BATCH]
-            noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), UNITS - 1)
             v = m.vectors(f, s)
-            out, other = m.outputs[u], m.outputs[noise]
-            real = np.einsum("ij,ij->i", v, out) + m.bias[u] - self.log_noise[u]
-            fake = v @ other.T + (m.bias[noise] - self.log_noise[noise])
-            up = (1 / (1 + np.exp(np.clip(real, -30, 30)))).astype(np.float32)
-            down = -(1 / (1 + np.exp(np.clip(-fake, -30, 30)))).astype(np.float32)
-            slope = up[:, None] * out + down @ other
-            positions = np.stack([(slope * m.inputs[f]).sum(axis=0), (slope * m.inputs[s]).sum(axis=0)]) / len(u)
-            inputs = np.vstack([slope * m.positions[0], slope * m.positions[1]])
-            rows = np.concatenate([u, noise])
-            outputs = np.vstack([up[:, None] * v, down.T @ v])
-            biases = np.concatenate([up, down.sum(axis=0)])
-            self._step("outputs", rows, outputs)
-            self._step("bias", rows, biases)
-            self._step("inputs", np.concatenate([f, s]), inputs)
-            self._step("positions", np.arange(2), positions)
+            slope = self._contrast("outputs", v, u) + self._contrast("groups", v, m.units.cluster[u])
+            none = np.zeros((len(u), 1), np.float32)
+            inputs = np.vstack([np.hstack([slope * m.positions[k, :-1], none]) for k in (0, 1)])
+            positions = np.stack([np.append((slope * m.inputs[x, :-1]).sum(axis=0), 0) for x in (f, s)]) / len(u)
+            self._step("inputs", np.concatenate([f, s]), inputs.astype(np.float32))
+            self._step("positions", np.arange(2), positions.astype(np.float32))
             self.seen += len(u)
 
 
-def contexts_of(units: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The unit before each token and the one before that; UNITS before a text."""
-    first, second = np.full(len(units), UNITS), np.full(len(units), UNITS)
+def contexts_of(units: np.ndarray, bounds: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unit before each token and the one before that; `before` before a text."""
+    first, second = np.full(len(units), before), np.full(len(units), before)
     first[1:], second[2:] = units[:-1], units[:-2]
     heads = bounds[:-1]
-    first[heads], second[heads] = UNITS, UNITS
+    first[heads], second[heads] = before, before
     after = heads[np.diff(bounds) > 1] + 1
-    second[after] = UNITS
+    second[after] = before
     return first, second
 
 
@@ -219,29 +232,50 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "h long, kind int, c long").groupBy("h").agg(F.first("kind").alias("kind"), F.sum("c").alias("c"))
 
 
-def trained(train: DataFrame, units: Units) -> Model:
-    spark = train.sparkSession
-    shares, shared = units.shares(), spark.sparkContext.broadcast(units)
+def trained(train: DataFrame, units: Units, tokens_in_all: int) -> Model:
+    """The mean of the models of all shards."""
+    shared = train.sparkSession.sparkContext.broadcast(units)
+    kind = "<u2"  # units are under 2**16
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, model = shared.value, Model(shares)
-        trainer = Trainer(model, shares, 11)
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
+            for i, j, data, offsets in slices(batch.column(0)):
                 h, k, bounds = tokens(data, offsets)
-                u = own.of(h, k)
-                trainer.learn(*contexts_of(u, bounds), u)
-        if trainer.seen:
-            rows = model.rows()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array([trainer.seen] * len(rows), pa.int64()), *[pa.array(rows[:, j].astype(np.float64)) for j in range(WIDTH + 1)]], ["row", "n", *[f"v{j}" for j in range(WIDTH + 1)]])
-
-    parts = train.select("text").mapInArrow(run, "row int, n long, " + ", ".join(f"v{j} double" for j in range(WIDTH + 1)))
-    mean = parts.groupBy("row").agg(*[(F.sum(F.col(f"v{j}") * F.col("n")) / F.sum("n")).alias(f"v{j}") for j in range(WIDTH + 1)])
-    got = mean.toArrow()  # a row per parameter row: its size doesn't depend on the corpus
-    model = Model(shares)
-    if len(got):
-        order = np.argsort(got.column("row").to_numpy())
-        model.load(np.column_stack([got.column(f"v{j}").to_numpy() for j in range(WIDTH + 1)])[order])
+                raw = shared.value.of(h, k).astype(kind).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[2 * a : 2 * b] for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["ids"])
+
+    def learn(table: pa.Table) -> pa.Table:
+        own = shared.value
+        trainer = Trainer(Model(own), 11)
+        bodies, held, size = sorted(table.column("ids").to_pylist()), [], 0
+        for n, body in enumerate(bodies):
+            held.append(body)
+            size += len(body)
+            if size > 1 << 19 or n == len(bodies) - 1:
+                u = np.frombuffer(b"".join(held), kind).astype(np.int64)
+                trainer.learn(*contexts_of(u, np.cumsum([0, *[len(x) // 2 for x in held]]), own.size), u)
+                held, size = [], 0
+        parts = []
+        for t, name in enumerate(Model.TABLES):
+            at = np.flatnonzero(trainer.used[name])
+            values = getattr(trainer.model, name)[at].astype(np.float64)
+            parts.append(pa.table({"t": pa.array(np.full(len(at), t, np.int32)), "row": pa.array(at.astype(np.int32)), "n": pa.array(trainer.used[name][at]), **{f"v{j}": pa.array(values[:, j]) for j in range(WIDTH + 1)}}))
+        return pa.concat_tables(parts)
+
+    # copies of a text are told apart by number, so that they go to different shards
+    counted = train.select("text").mapInArrow(coded, "ids binary").groupBy("ids").agg(F.count("*").alias("copies"))
+    each = counted.select("ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    shards = max(1, -(-tokens_in_all // SHARD_TOKENS))
+    dealt = each.select("ids", F.pmod(F.xxhash64("ids", "copy"), F.lit(shards)).cast("int").alias("shard"))
+    columns = [f"v{j}" for j in range(WIDTH + 1)]
+    parts = dealt.groupBy("shard").applyInArrow(learn, "t int, row int, n long, " + ", ".join(f"{c} double" for c in columns))
+    mean = parts.groupBy("t", "row").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in columns])
+    got = mean.toArrow()  # a row per parameter row: bounded by TOP, whatever the corpus
+    model = Model(units)
+    for t, name in enumerate(Model.TABLES):
+        own = got.filter(pa.array(got.column("t").to_numpy() == t)) if len(got) else got
+        if len(own):
+            getattr(model, name)[own.column("row").to_numpy()] = np.column_stack([own.column(c).to_numpy() for c in columns]).astype(np.float32)
     return model
 
 
@@ -260,24 +294,26 @@ def scored(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     rare = counts.where((F.col("c") < least[0]) | ((F.col("c") == least[0]) & (F.col("h") > least[1]))) if len(top) == TOP else counts.limit(0)
     kinds = {r["kind"]: (int(r["n"]), int(r["v"])) for r in rare.groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     units = Units(np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["c"] for r in top], float), kinds)
-    model = trained(train, units)
     n, v = int(totals["n"] or 0), int(totals["v"])
-    shared = spark.sparkContext.broadcast((units, model))
+    model = trained(train, units, n)
+    shared = spark.sparkContext.broadcast(model)
 
     size = rows.agg(F.sum(F.octet_length("text") + 64)).head()[0] or 0
     groups = max(1, -(-int(size) // group_bytes))
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    # the row's number keeps copies of one row apart; which group scores a row changes nothing
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
     def distinct(key: tuple, table: pa.Table) -> pa.Table:
         found = [np.unique(tokens(data, offsets)[0]) for _, _, data, offsets in slices(table.column("text"))]
-        h = np.unique(np.concatenate(found))
+        h = np.setdiff1d(np.unique(np.concatenate(found)), shared.value.units.sorted, assume_unique=True)
         return pa.table({"g": pa.array([key[0].as_py()] * len(h), pa.int32()), "h": pa.array(h.view(np.int64))})
 
     asked = dealt.groupBy("g").applyInArrow(distinct, "g int, h long")
     answers = asked.join(counts.select("h", "c"), "h").select("g", "h", "c")
 
     def score(texts: pa.Table, table: pa.Table) -> pa.Table:
-        own, net = shared.value
+        net = shared.value
+        own = net.units
         h_known = table.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h_known)
         h_known, c_known = h_known[order], table.column("c").to_numpy()[order]
@@ -289,8 +325,9 @@ def scored(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
                 at = np.minimum(np.searchsorted(h_known, h), len(h_known) - 1)
                 c = np.where(h_known[at] == h, c_known[at], 0)
             u = own.of(h, k)
+            c = np.where(u < own.top, own.totals[u].astype(np.int64), c)
             base = np.log10((c + SMOOTH) / (n + SMOOTH * (v + 1)))
-            logs = (net.log_probabilities(*contexts_of(u, bounds), u) + own.inside(u, c)) / np.log(10)
+            logs = (net.log_probabilities(*contexts_of(u, bounds, own.size), u) + own.inside(u, c)) / np.log(10)
             sums = lambda x: np.add.reduceat(x, bounds[:-1])
             out.append((np.diff(bounds), sums((c > 0).astype(np.int64)), sums(base), sums(logs)))
         lengths, hits, base, logs = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))

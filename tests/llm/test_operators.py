@@ -433,19 +433,55 @@ def test_scoring(docs, empty):
 
 def test_model_is_normalised_and_learns():
     r = np.random.default_rng(0)
-    units = scoring.Units(np.arange(20, dtype=np.uint64), np.full(20, 50.0), {k: (10, 5) for k in range(scoring.CLASSES)})
-    model = scoring.Model(units.shares())
-    u = np.tile(np.arange(10), 2000) + r.integers(0, 2, 20000) * 0
-    first, second = scoring.contexts_of(u, np.array([0, len(u)]))
+    units = scoring.Units(np.arange(300, dtype=np.uint64), np.full(300, 50.0), {k: (10, 5) for k in range(scoring.CLASSES)})
+    model = scoring.Model(units)
+    u = np.tile(np.arange(10), 4000) + r.integers(0, 2, 40000) * 150
+    first, second = scoring.contexts_of(u, np.array([0, len(u)]), units.size)
     before = model.log_probabilities(first, second, u).mean()
-    scoring.Trainer(model, units.shares(), 1).learn(first, second, u)
+    scoring.Trainer(model, 1).learn(first, second, u)
     assert model.log_probabilities(first, second, u).mean() > before + 0.5
-    every = model.log_probabilities(np.full(scoring.UNITS, 3), np.full(scoring.UNITS, 2), np.arange(scoring.UNITS))
+    every = model.log_probabilities(np.full(units.size, 3), np.full(units.size, 2), np.arange(units.size))
     assert abs(np.exp(every).sum() - 1) < 1e-3
-    inside = units.inside(np.full(6, scoring.TOP), np.array([2, 2, 2, 2, 2, 0]))
+    inside = units.inside(np.full(6, units.top), np.array([2, 2, 2, 2, 2, 0]))
     assert abs(np.exp(inside).sum() - 1) < 1e-9
 
 
+def test_scores_by_hand_and_whatever_the_partitions(spark, monkeypatch):
+    """score against sums over explicit softmaxes, token by token; and the same from one, four and nine partitions."""
+    monkeypatch.setattr(scoring, "TOP", 200)
+    r = random.Random(12)
+    words = [w for w in VOCABULARY for _ in range(1 + ord(w[0]) % 3)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 60)))) for i in range(400)] + [(None, "")] * 30
+    seen = {}
+    given = scoring.trained
+    monkeypatch.setattr(scoring, "trained", lambda *a: seen.setdefault("model", given(*a)) if "model" not in seen else given(*a))
+    results = [sorted((-1 if x["doc_id"] is None else x["doc_id"], round(x["score"], 4)) for x in scoring.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), group_bytes=1 << 12).collect()) for parts in (1, 4, 9)]
+    for other in results[1:]:
+        assert all(i == j and abs(a - b) <= 2e-3 * max(1, abs(a)) for (i, a), (j, b) in zip(results[0], other))
+    model = seen["model"]
+    units = model.units
+    counts = Counter()
+    for i, t in rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 10:
+            h, k, _ = scoring.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+            counts.update(h.tolist())
+    for i, t in rows[:40]:
+        h, k, _ = scoring.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        u, total = units.of(h, k), 0.0
+        for n, unit in enumerate(u.tolist()):
+            before = [u[n - 1] if n else units.size, u[n - 2] if n > 1 else units.size]
+            v = sum(model.inputs[x, :-1].astype(float) * model.positions[p, :-1] for p, x in enumerate(before))
+            soft = lambda table, pick: float(table[pick, :-1] @ v + table[pick, -1] - np.log(np.exp(table[:, :-1].astype(float) @ v + table[:, -1]).sum()))  # noqa: B023, E731
+            total += soft(model.groups, units.cluster[unit])
+            if unit < units.top:
+                low = unit // scoring.MEMBERS * scoring.MEMBERS
+                total += soft(model.outputs[low : min(low + scoring.MEMBERS, units.top)], unit - low)
+            else:
+                kind = unit - units.top
+                total += math.log((counts[int(h[n])] + 0.1) / (units.totals[unit] + 0.1 * (units.kinds[kind] + 1)))
+        assert abs(total / math.log(10) - dict(results[0])[i]) < 1e-2 * max(1, abs(total)), i
+
+
 # -- 9: licences
 
 
