@@ -8,10 +8,11 @@ cluster, each normalised by batched matrix products, so a large vocabulary costs
 vector is the sum of its units' vectors under position weights; a score is its product with an output vector plus a bias.
 
 1. Training counts of all tokens are gathered by hash (one shuffle of partial counts, a row per distinct token and task).
-2. Training texts become unit ids, equal ones are counted, and copies are dealt to shards of about ``SHARD_TOKENS`` tokens by
-   hash; a shard is trained in a fixed order from the common start against ``NOISE`` shared noise units a batch, and each
-   parameter row is averaged over the shards by how often it was used. All training texts are used, and the result depends on
-   the texts only, not on how they lie in partitions (but for the last bits of sums).
+2. Training texts become unit ids, equal ones of a task are one row with their number, and go to shards of about
+   ``SHARD_TOKENS`` tokens by hash; a shard is trained in a fixed order from the common start against ``NOISE`` shared noise
+   units a batch, copies as one text of that weight, and each parameter row is averaged over the shards by how often it was
+   used. All training texts count, and the result depends on the texts only, not on how they lie in partitions (but for the
+   last bits of sums).
 3. Texts are dealt to groups of bounded bytes; a group's distinct rarer tokens fetch their counts by a join (frequent ones are
    units, whose counts go along with the model), and each group is scored. No vocabulary is broadcast but the units.
 
@@ -22,6 +23,7 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,27 +156,29 @@ class Trainer:
         getattr(self.model, name)[at] += RATE * total / np.sqrt(squares[at])
         self.used[name][at] += np.diff(np.append(heads, len(rows)))
 
-    def _contrast(self, name: str, v: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    def _contrast(self, name: str, v: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """A step on one output table; the slope at the context vectors."""
         table, (cumulative, log_noise) = getattr(self.model, name), self.noise[name]
         noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE) * cumulative[-1]), len(table) - 1)
         out, other = table[targets], table[noise]
         real = np.einsum("ij,ij->i", v, out[:, :-1]) + out[:, -1] - log_noise[targets]
         fake = v @ other[:, :-1].T + (other[:, -1] - log_noise[noise])
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-        down = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
+        up = weights / (1 + np.exp(np.clip(real, -30, 30)))
+        down = -weights[:, None] / (1 + np.exp(np.clip(-fake, -30, 30)))
         own = np.hstack([up[:, None] * v, up[:, None]])
         against = np.hstack([down.T @ v, down.sum(axis=0)[:, None]])
         slope = up[:, None] * out[:, :-1] + down @ other[:, :-1]
         self._step(name, np.concatenate([targets, noise]), np.vstack([own, against]).astype(np.float32))
         return slope
 
-    def learn(self, first: np.ndarray, second: np.ndarray, units: np.ndarray) -> None:
+    def learn(self, first: np.ndarray, second: np.ndarray, units: np.ndarray, weights: np.ndarray | None = None) -> None:
         m = self.model
+        weights = np.ones(len(units), np.float32) if weights is None else weights.astype(np.float32)
         for a in range(0, len(units), BATCH):
             f, s, u = first[a : a + BATCH], second[a : a + BATCH], units[a : a + BATCH]
             v = m.vectors(f, s)
-            slope = self._contrast("outputs", v, u) + self._contrast("groups", v, m.units.cluster[u])
+            w = weights[a : a + BATCH]
+            slope = self._contrast("outputs", v, u, w) + self._contrast("groups", v, m.units.cluster[u], w)
             none = np.zeros((len(u), 1), np.float32)
             inputs = np.vstack([np.hstack([slope * m.positions[k, :-1], none]) for k in (0, 1)])
             positions = np.stack([np.append((slope * m.inputs[x, :-1]).sum(axis=0), 0) for x in (f, s)]) / len(u)
@@ -238,22 +242,36 @@ def trained(train: DataFrame, units: Units, tokens_in_all: int) -> Model:
     kind = "<u2"  # units are under 2**16
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+        size = 0
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["ids", "copies"])
+
         for batch in batches:
-            for i, j, data, offsets in slices(batch.column(0)):
+            for _, _, data, offsets in slices(batch.column(0)):
                 h, k, bounds = tokens(data, offsets)
                 raw = shared.value.of(h, k).astype(kind).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[2 * a : 2 * b] for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["ids"])
+                held.update(raw[2 * a : 2 * b] for a, b in zip(bounds, bounds[1:], strict=False))
+                size += len(raw)
+                if size > 1 << 24:
+                    yield batch_of()
+                    held, size = Counter(), 0
+        yield batch_of()
 
     def learn(table: pa.Table) -> pa.Table:
         own = shared.value
         trainer = Trainer(Model(own), 11)
-        bodies, held, size = sorted(table.column("ids").to_pylist()), [], 0
+        copies: Counter[bytes] = Counter()
+        for body, n in zip(table.column("ids").to_pylist(), table.column("copies").to_pylist(), strict=True):
+            copies[body] += n
+        bodies, held, size = sorted(copies), [], 0
         for n, body in enumerate(bodies):
             held.append(body)
             size += len(body)
             if size > 1 << 19 or n == len(bodies) - 1:
-                u = np.frombuffer(b"".join(held), kind).astype(np.int64)
-                trainer.learn(*contexts_of(u, np.cumsum([0, *[len(x) // 2 for x in held]]), own.size), u)
+                u, lengths = np.frombuffer(b"".join(held), kind).astype(np.int64), [len(x) // 2 for x in held]
+                trainer.learn(*contexts_of(u, np.cumsum([0, *lengths]), own.size), u, np.repeat([copies[x] for x in held], lengths))
                 held, size = [], 0
         parts = []
         for t, name in enumerate(Model.TABLES):
@@ -262,11 +280,9 @@ def trained(train: DataFrame, units: Units, tokens_in_all: int) -> Model:
             parts.append(pa.table({"t": pa.array(np.full(len(at), t, np.int32)), "row": pa.array(at.astype(np.int32)), "n": pa.array(trainer.used[name][at]), **{f"v{j}": pa.array(values[:, j]) for j in range(WIDTH + 1)}}))
         return pa.concat_tables(parts)
 
-    # copies of a text are told apart by number, so that they go to different shards
-    counted = train.select("text").mapInArrow(coded, "ids binary").groupBy("ids").agg(F.count("*").alias("copies"))
-    each = counted.select("ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    # a text that many rows share comes once a task, and a shard learns it once
     shards = max(1, -(-tokens_in_all // SHARD_TOKENS))
-    dealt = each.select("ids", F.pmod(F.xxhash64("ids", "copy"), F.lit(shards)).cast("int").alias("shard"))
+    dealt = train.select("text").mapInArrow(coded, "ids binary, copies long").withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
     columns = [f"v{j}" for j in range(WIDTH + 1)]
     parts = dealt.groupBy("shard").applyInArrow(learn, "t int, row int, n long, " + ", ".join(f"{c} double" for c in columns))
     mean = parts.groupBy("t", "row").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in columns])
