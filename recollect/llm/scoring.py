@@ -116,10 +116,11 @@ class Model:
         """Log-softmax over a table's rows at the picked one, for each vector."""
         out = np.empty(len(vectors))
         for a in range(0, len(vectors), 8192):
-            scores = vectors[a : a + 8192] @ table[:, :-1].T + table[:, -1]
+            scores = vectors[a : a + 8192] @ table[:, :-1].T
+            scores += table[:, -1]
             scores -= scores.max(axis=1)[:, None]
             own = scores[np.arange(len(scores)), picks[a : a + 8192]]
-            out[a : a + 8192] = own - np.log(np.exp(scores).sum(axis=1, dtype=np.float64))
+            out[a : a + 8192] = own - np.log(np.exp(scores, out=scores).sum(axis=1))
         return out
 
     def log_probabilities(self, first: np.ndarray, second: np.ndarray, units: np.ndarray) -> np.ndarray:
@@ -147,7 +148,7 @@ class Trainer:
 
     def _step(self, name: str, rows: np.ndarray, slopes: np.ndarray) -> None:
         """Ascend on rows (repeats are summed first)."""
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # sorted by radix; rows are under 2**16
         ordered = rows[order]
         heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         total, at = np.add.reduceat(slopes[order], heads, axis=0), ordered[heads]
@@ -164,11 +165,15 @@ class Trainer:
         real = np.einsum("ij,ij->i", v, out[:, :-1]) + out[:, -1] - log_noise[targets]
         fake = v @ other[:, :-1].T + (other[:, -1] - log_noise[noise])
         up = weights / (1 + np.exp(np.clip(real, -30, 30)))
-        down = -weights[:, None] / (1 + np.exp(np.clip(-fake, -30, 30)))
-        own = np.hstack([up[:, None] * v, up[:, None]])
-        against = np.hstack([down.T @ v, down.sum(axis=0)[:, None]])
+        np.exp(np.clip(np.negative(fake, out=fake), -30, 30, out=fake), out=fake)
+        fake += 1
+        down = np.divide(-weights[:, None], fake, out=fake)
+        steps, n = np.empty((len(v) + NOISE, WIDTH + 1), np.float32), len(v)
+        np.multiply(up[:, None], v, out=steps[:n, :-1])
+        steps[:n, -1], steps[n:, -1] = up, down.sum(axis=0)
+        np.matmul(down.T, v, out=steps[n:, :-1])
         slope = up[:, None] * out[:, :-1] + down @ other[:, :-1]
-        self._step(name, np.concatenate([targets, noise]), np.vstack([own, against]).astype(np.float32))
+        self._step(name, np.concatenate([targets, noise]), steps)
         return slope
 
     def learn(self, first: np.ndarray, second: np.ndarray, units: np.ndarray, weights: np.ndarray | None = None) -> None:
@@ -179,10 +184,11 @@ class Trainer:
             v = m.vectors(f, s)
             w = weights[a : a + BATCH]
             slope = self._contrast("outputs", v, u, w) + self._contrast("groups", v, m.units.cluster[u], w)
-            none = np.zeros((len(u), 1), np.float32)
-            inputs = np.vstack([np.hstack([slope * m.positions[k, :-1], none]) for k in (0, 1)])
+            inputs = np.zeros((2 * len(u), WIDTH + 1), np.float32)
+            for k in (0, 1):
+                np.multiply(slope, m.positions[k, :-1], out=inputs[k * len(u) : (k + 1) * len(u), :-1])
             positions = np.stack([np.append((slope * m.inputs[x, :-1]).sum(axis=0), 0) for x in (f, s)]) / len(u)
-            self._step("inputs", np.concatenate([f, s]), inputs.astype(np.float32))
+            self._step("inputs", np.concatenate([f, s]), inputs)
             self._step("positions", np.arange(2), positions.astype(np.float32))
             self.seen += len(u)
 
