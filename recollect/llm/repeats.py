@@ -336,45 +336,50 @@ def spans(keyed: DataFrame, i: str, t: str, size: int = SIZE, gram: int = GRAM,
     per_anchor = classes.groupBy("h").agg(F.count("*").alias("m"), F.sum(F.col("at.n") + size).alias("bytes"))
     sizes = per_anchor.agg(F.sum("bytes").alias("bytes"), F.max("m").alias("most")).head()
     shards = max(1, -(-int(sizes["bytes"] or 0) // shard_bytes))
+    crowded = (sizes["most"] or 0) > hot
+    if crowded:  # heavy anchors are told here, on rows of a few numbers: the contexts' bytes needn't travel for it
+        heavy = cut(per_anchor.where(F.col("m") > hot).select("h").withColumn("hot", F.lit(True)))
+        few = heavy.count() <= bound
+        classes = classes.join(F.broadcast(heavy) if few else heavy, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    else:
+        classes = classes.withColumn("hot", F.lit(False))
 
     # each class's bytes are cut from one of its places; all columns go along, so that this join's shuffle of the documents is
     # the one that the last join uses too
     rows_at = unused(keyed.columns, "rows")[0]
-    wanted = classes.groupBy(F.col("at.i").alias(i), F.col("at.t").alias(t)).agg(F.collect_list(F.struct("h", "c", "k", F.col("at.s").alias("s"), F.col("at.n").alias("n"))).alias(rows_at))
+    wanted = classes.groupBy(F.col("at.i").alias(i), F.col("at.t").alias(t)).agg(F.collect_list(F.struct("h", "c", "k", F.col("at.s").alias("s"), F.col("at.n").alias("n"), "hot")).alias(rows_at))
     fetched = keyed.join(wanted, [i, t]).select(*keyed.columns, rows_at)
     text_at, key_at = keyed.columns.index("text"), [keyed.columns.index(x) for x in (i, t)]
 
-    def slice_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple] = set()  # a repeated row is read once
-        for batch in small_batches(batches, text_at):
-            h, c, k, body = [], [], [], []
-            for key, text, rows in zip(zip(*[batch.column(x).to_pylist() for x in key_at], strict=True), batch.column(text_at), batch.column(len(batch.schema.names) - 1), strict=True):
-                if key in seen:
-                    continue
-                seen.add(key)
-                whole = (text.as_py() or "").encode()
-                for r in rows.as_py():
-                    h.append(r["h"])
-                    c.append(r["c"])
-                    k.append(r["k"])
-                    body.append(whole[r["s"] : r["s"] + r["n"] - 1 + size])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.int64()), pa.array(body, pa.binary())], ["h", "c", "k", "body"])
-
-    bodies = fetched.mapInArrow(slice_bodies, "h long, c long, k long, body binary")
-    plain, starts = bodies, None
-    if (sizes["most"] or 0) > hot:
-        heavy = per_anchor.where(F.col("m") > hot).select("h")
-        starts = _hot_starts(bodies.join(heavy, "h", "left_semi"), size)
-        plain = bodies.join(heavy, "h", "left_anti")
+    def bodies(of_hot: bool) -> DataFrame:
+        def slice_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[tuple] = set()  # a repeated row is read once
+            for batch in small_batches(batches, text_at):
+                h, c, k, body = [], [], [], []
+                for key, text, rows in zip(zip(*[batch.column(x).to_pylist() for x in key_at], strict=True), batch.column(text_at), batch.column(len(batch.schema.names) - 1), strict=True):
+                    if key in seen:
+                        continue
+                    seen.add(key)
+                    whole = (text.as_py() or "").encode()
+                    for r in rows.as_py():
+                        if r["hot"] == of_hot:
+                            h.append(r["h"])
+                            c.append(r["c"])
+                            k.append(r["k"])
+                            body.append(whole[r["s"] : r["s"] + r["n"] - 1 + size])
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.int64()), pa.array(body, pa.binary())], ["h", "c", "k", "body"])
+
+        own = fetched.where(F.exists(rows_at, lambda r: r["hot"] == F.lit(of_hot))) if crowded else fetched
+        return own.mapInArrow(slice_bodies, "h long, c long, k long, body binary")
 
     def index(table: pa.Table) -> pa.Table:
         out = index_shard(table, size)
         give_back()
         return out
 
-    dealt = plain.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    dealt = bodies(False).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     indexed = dealt.groupBy("shard").applyInArrow(index, "h long, c long, a int, b int")
-    starts = indexed if starts is None else indexed.unionByName(starts)
+    starts = indexed.unionByName(_hot_starts(bodies(True), size)) if crowded else indexed
     covered = found.where("k > 0").select("h", "c", "i", "t", "s").join(starts, ["h", "c"]).select("i", "t", (F.col("s") + F.col("a")).alias("from"), (F.col("s") + F.col("b") - 1 + size).alias("to"))
     covered = covered.unionByName(found.where("k = 0").select("i", "t", F.col("s").alias("from"), (F.col("s") + F.col("n")).alias("to")))
     # the copies of a row have found the same ranges
