@@ -37,6 +37,7 @@ from recollect.plans.shared import cut
 TOP, CLASSES, MEMBERS, WIDTH = 8192, 64, 128, 24
 NOISE, BATCH, RATE = 64, 4096, 0.05
 SHARD_TOKENS = 1 << 22
+ROWS = 1024
 GROUP_BYTES = 6 << 20
 END = np.uint64(0x1)
 SMOOTH = 0.1
@@ -109,18 +110,26 @@ class Model:
         self.outputs[:, -1], self.groups[:, -1] = np.log(units.shares()), np.log(units.cluster_shares())
 
     def vectors(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return self.inputs[first, :-1] * self.positions[0, :-1] + self.inputs[second, :-1] * self.positions[1, :-1]
+        """Context vectors; their last column is 1, so that a product with an output row takes in its bias."""
+        out = np.take(self.inputs, first, axis=0)
+        out *= self.positions[0]
+        other = np.take(self.inputs, second, axis=0)
+        other *= self.positions[1]
+        out += other
+        out[:, -1] = 1
+        return out
 
     @staticmethod
     def normalised(vectors: np.ndarray, table: np.ndarray, picks: np.ndarray) -> np.ndarray:
-        """Log-softmax over a table's rows at the picked one, for each vector."""
-        out = np.empty(len(vectors))
-        for a in range(0, len(vectors), 8192):
-            scores = vectors[a : a + 8192] @ table[:, :-1].T
-            scores += table[:, -1]
-            scores -= scores.max(axis=1)[:, None]
-            own = scores[np.arange(len(scores)), picks[a : a + 8192]]
-            out[a : a + 8192] = own - np.log(np.exp(scores, out=scores).sum(axis=1))
+        """Log-softmax over a table's rows at the picked one, for each vector; in blocks that stay in a core's cache."""
+        out, turned, ones = np.empty(len(vectors)), np.ascontiguousarray(table.T), np.ones(len(table), np.float32)
+        for a in range(0, len(vectors), ROWS):
+            v = vectors[a : a + ROWS]
+            scores = v @ turned
+            if not -40 < scores.min() <= scores.max() < 40:  # only then could the sum overflow or vanish
+                scores -= scores.max(axis=1)[:, None]
+            own = scores[np.arange(len(scores)), picks[a : a + ROWS]]
+            out[a : a + ROWS] = own - np.log(np.exp(scores, out=scores) @ ones)
         return out
 
     def log_probabilities(self, first: np.ndarray, second: np.ndarray, units: np.ndarray) -> np.ndarray:
@@ -151,30 +160,37 @@ class Trainer:
         order = np.argsort(rows.astype(np.uint16), kind="stable")  # sorted by radix; rows are under 2**16
         ordered = rows[order]
         heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        total, at = np.add.reduceat(slopes[order], heads, axis=0), ordered[heads]
-        squares = self.squares[name]
-        squares[at] += total * total
-        getattr(self.model, name)[at] += RATE * total / np.sqrt(squares[at])
+        total, at = np.add.reduceat(np.take(slopes, order, axis=0), heads, axis=0), ordered[heads]
+        table, squares = getattr(self.model, name), np.take(self.squares[name], at, axis=0)
+        squares += total * total
+        self.squares[name][at] = squares
+        total *= np.float32(RATE)
+        total /= np.sqrt(squares, out=squares)
+        total += np.take(table, at, axis=0)
+        table[at] = total
         self.used[name][at] += np.diff(np.append(heads, len(rows)))
 
     def _contrast(self, name: str, v: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """A step on one output table; the slope at the context vectors."""
         table, (cumulative, log_noise) = getattr(self.model, name), self.noise[name]
         noise = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE) * cumulative[-1]), len(table) - 1)
-        out, other = table[targets], table[noise]
-        real = np.einsum("ij,ij->i", v, out[:, :-1]) + out[:, -1] - log_noise[targets]
-        fake = v @ other[:, :-1].T + (other[:, -1] - log_noise[noise])
+        out, other = np.take(table, targets, axis=0), np.take(table, noise, axis=0)
+        real = np.einsum("ij,ij->i", v, out) - log_noise[targets]
         up = weights / (1 + np.exp(np.clip(real, -30, 30)))
-        np.exp(np.clip(np.negative(fake, out=fake), -30, 30, out=fake), out=fake)
-        fake += 1
-        down = np.divide(-weights[:, None], fake, out=fake)
+        against = -other.T
+        against[-1] += log_noise[noise]
+        odds = v @ against
+        with np.errstate(over="ignore"):  # an infinite value gives a slope of 0
+            np.exp(odds, out=odds)
+        odds += 1
+        down = np.divide(-weights[:, None], odds, out=odds)
         steps, n = np.empty((len(v) + NOISE, WIDTH + 1), np.float32), len(v)
-        np.multiply(up[:, None], v, out=steps[:n, :-1])
-        steps[:n, -1], steps[n:, -1] = up, down.sum(axis=0)
-        np.matmul(down.T, v, out=steps[n:, :-1])
-        slope = up[:, None] * out[:, :-1] + down @ other[:, :-1]
+        np.multiply(up[:, None], v, out=steps[:n])
+        np.matmul(down.T, v, out=steps[n:])
+        out *= up[:, None]
+        out += down @ other
         self._step(name, np.concatenate([targets, noise]), steps)
-        return slope
+        return out
 
     def learn(self, first: np.ndarray, second: np.ndarray, units: np.ndarray, weights: np.ndarray | None = None) -> None:
         m = self.model
@@ -183,11 +199,13 @@ class Trainer:
             f, s, u = first[a : a + BATCH], second[a : a + BATCH], units[a : a + BATCH]
             v = m.vectors(f, s)
             w = weights[a : a + BATCH]
-            slope = self._contrast("outputs", v, u, w) + self._contrast("groups", v, m.units.cluster[u], w)
-            inputs = np.zeros((2 * len(u), WIDTH + 1), np.float32)
+            slope = self._contrast("outputs", v, u, w)
+            slope += self._contrast("groups", v, m.units.cluster[u], w)
+            slope[:, -1] = 0  # biases are no part of a context
+            inputs = np.empty((2 * len(u), WIDTH + 1), np.float32)
             for k in (0, 1):
-                np.multiply(slope, m.positions[k, :-1], out=inputs[k * len(u) : (k + 1) * len(u), :-1])
-            positions = np.stack([np.append((slope * m.inputs[x, :-1]).sum(axis=0), 0) for x in (f, s)]) / len(u)
+                np.multiply(slope, m.positions[k], out=inputs[k * len(u) : (k + 1) * len(u)])
+            positions = np.stack([np.einsum("ij,ij->j", slope, np.take(m.inputs, x, axis=0)) for x in (f, s)]) / len(u)
             self._step("inputs", np.concatenate([f, s]), inputs)
             self._step("positions", np.arange(2), positions.astype(np.float32))
             self.seen += len(u)
