@@ -446,6 +446,13 @@ def test_model_is_normalised_and_learns():
     assert abs(np.exp(inside).sum() - 1) < 1e-9
 
 
+def test_most_frequent_tokens_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "TOP", 40)
+    for rows in ([(h, h % 7, 1 + 5000 // (h + 1)) for h in range(300)], [(h, 0, 3) for h in range(100)], [(h, 0, 9) for h in range(12)], []):
+        got = [(r["h"], r["c"]) for r in scoring.most_frequent(spark.createDataFrame(rows, "h long, kind int, c long").repartition(5))]
+        assert got == [(h, c) for h, _, c in sorted(rows, key=lambda r: (-r[2], r[0]))[:40]]
+
+
 def test_scores_by_hand_and_whatever_the_partitions(spark, monkeypatch):
     """score against sums over explicit softmaxes, token by token; and the same from one, four and nine partitions."""
     monkeypatch.setattr(scoring, "TOP", 200)
