@@ -9,8 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.plans.shared import cut
+
 #: Queries that are sent to the tasks at once; more go in further blocks.
 QUERY_BLOCK = 4096
+#: Queries of a block that are scored at once against a batch of the bank.
+QUERY_ROWS = 256
+#: Centroids that are sent to the tasks at once, in one row; more go in further rows.
+CENTROID_BLOCK = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,10 +53,15 @@ def dense_topk(bank: DataFrame, queries: DataFrame, k: int, block: int = QUERY_B
                     continue
                 own = batch.column(0).to_numpy()
                 vectors = np.array(batch.column(1).to_pylist(), np.float64)
-                scores = np.round(matrix @ vectors.T, 6)
-                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                q = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[order.ravel()]), pa.array(scores[q, order.ravel()])], ["query_id", "id", "cosine"])
+                for a in range(0, len(ids), QUERY_ROWS):
+                    scores = np.round(matrix[a : a + QUERY_ROWS] @ vectors.T, 6)
+                    least = np.partition(scores, -k, axis=1)[:, -k] if k < len(own) else np.full(len(scores), -np.inf)
+                    q, at = np.nonzero(scores >= least[:, None])  # ties with the k-th go along and are cut by id
+                    order = np.lexsort((own[at], -scores[q, at], q))
+                    q, at = q[order], at[order]
+                    kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+                    q, at = q[kept], at[kept]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + q]), pa.array(own[at]), pa.array(scores[q, at])], ["query_id", "id", "cosine"])
 
         parts.append(bank.select(F.col("id").cast("long"), "vector").mapInArrow(run, "query_id long, id long, cosine double"))
     near = parts[0]
@@ -68,14 +79,25 @@ def centroids(rows: DataFrame) -> DataFrame:
     return packed.select("bucket", "size", unit(F.transform("p", lambda x: x["m"])).alias("centroid"))
 
 
+def _similarities(rows: DataFrame, cents: DataFrame) -> DataFrame:
+    """rows with `near`: (similarity, -bucket, size) of every centroid. A row carries its centroids as arrays of at most
+    CENTROID_BLOCK, so nothing is paired and nothing is shuffled by row. cents is read twice: cut it first if it is costly."""
+    blocks = max(1, -(-cents.count() // CENTROID_BLOCK))
+    parts = []
+    for b in range(blocks):
+        own = cents.where(F.pmod(F.xxhash64("bucket"), F.lit(blocks)) == b)
+        rows = rows.join(F.broadcast(own.agg(F.collect_list(F.struct("bucket", "size", "centroid")).alias(f"_c{b}"))), F.lit(True))
+        parts.append(F.transform(f"_c{b}", lambda c: F.struct(F.round(dot(F.col("vector"), c["centroid"]), 6).alias("similarity"), (-c["bucket"]).alias("minus"), c["size"].alias("size"))))
+    return rows.withColumn("near", F.concat(*parts)).drop(*[f"_c{b}" for b in range(blocks)])
+
+
 def route(queries: DataFrame, cents: DataFrame, temperature: float = 0.1) -> DataFrame:
-    """(query_id, bucket, size, similarity, probability): every query against the centroids, a small table by construction
-    (its number of buckets is a setting)."""
-    sim = F.round(dot(F.col("vector"), F.col("centroid")), 6)
-    scored = queries.crossJoin(F.broadcast(cents)).select("query_id", "bucket", "size", sim.alias("similarity"))
-    own = Window.partitionBy("query_id")
-    weight = F.exp((F.col("similarity") - F.max("similarity").over(own)) / temperature)
-    return scored.withColumn("probability", weight).withColumn("probability", F.round(F.col("probability") / F.sum("probability").over(own), 6))
+    """(query_id, bucket, size, similarity, probability): every query against the centroids, a softmax within the query's row."""
+    near = _similarities(queries.select("query_id", "vector"), cut(cents)).select("query_id", "near", F.array_max("near")["similarity"].alias("_m"))
+    weighted = near.select("query_id", F.transform("near", lambda c: F.struct(c.alias("c"), F.exp((c["similarity"] - F.col("_m")) / temperature).alias("w"))).alias("near"))
+    total = F.aggregate("near", F.lit(0.0), lambda t, c: t + c["w"])
+    rows = weighted.select("query_id", total.alias("_t"), F.explode("near").alias("n"))
+    return rows.select("query_id", (-F.col("n.c.minus")).alias("bucket"), "n.c.size", "n.c.similarity", F.round(F.col("n.w") / F.col("_t"), 6).alias("probability"))
 
 
 def opened(routed: DataFrame, budget: float, exclude: tuple[int, ...] = ()) -> DataFrame:
@@ -96,10 +118,15 @@ def reciprocal_ranks(pool: DataFrame, signals: list[str], key: str = "id", const
     return pool.withColumn("fused", F.round(total, 9))
 
 
+def _nearest(rows: DataFrame, cents: DataFrame) -> DataFrame:
+    """rows with the bucket and similarity of the nearest centroid, the lowest bucket on ties."""
+    best = _similarities(rows, cents).withColumn("near", F.array_max("near")).where("near is not null")
+    return best.withColumns({"bucket": -F.col("near.minus"), "similarity": F.col("near.similarity")}).drop("near")
+
+
 def assigned(rows: DataFrame, cents: DataFrame) -> DataFrame:
     """(id, bucket, similarity): the nearest centroid of each vector, the lowest bucket on ties."""
-    scored = rows.select("id", "vector").crossJoin(F.broadcast(cents.select("bucket", "centroid"))).select("id", "bucket", F.round(dot(F.col("vector"), F.col("centroid")), 6).alias("s"))
-    return scored.groupBy("id").agg(F.max_by("bucket", F.struct("s", -F.col("bucket"))).alias("bucket"), F.max("s").alias("similarity"))
+    return _nearest(rows.select("id", "vector"), cents).select("id", "bucket", "similarity")
 
 
 def cluster_count(n: int, k: int) -> int:
@@ -108,14 +135,15 @@ def cluster_count(n: int, k: int) -> int:
 
 def lloyd(rows: DataFrame, k: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """(assignments, centroids) of a deterministic k-means: seeds are the k rows with the least sha1 of their id; an empty
-    cluster keeps its centroid. A round is one map against the broadcast centroids and one aggregation."""
+    cluster keeps its centroid. A round is one map against the centroids, one aggregation, and a cut of its small result."""
     seeds = rows.orderBy(F.sha1(F.col("id").cast("string"))).limit(k).select("id", "vector")
     cents = seeds.withColumn("bucket", F.row_number().over(Window.orderBy(F.sha1(F.col("id").cast("string")))) - 1).select("bucket", F.lit(0).cast("long").alias("size"), unit(F.col("vector")).alias("centroid"))
     for _ in range(rounds):
-        near = assigned(rows, cents)
-        new = centroids(rows.join(near.select("id", "bucket"), "id"))
+        cents = cut(cents)
+        new = centroids(_nearest(rows.select("vector"), cents).select("bucket", "vector"))
         kept = cents.select("bucket", F.col("centroid").alias("_old")).join(new, "bucket", "left")
         cents = kept.select("bucket", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("centroid", "_old").alias("centroid"))
+    cents = cut(cents)
     return assigned(rows, cents), cents
 
 
