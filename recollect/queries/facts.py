@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recollect.functions import dates, text
-from recollect.operators import mutations, validity
+from recollect.operators import mutations, overlaps, validity
 from recollect.plans import base
 from recollect.plans.base import SQL_FACTS, SQL_ORDERS, SQL_TURNS, sql_entities
+from recollect.plans.shared import cut
 from recollect.queries.registry import query
 
 
@@ -262,9 +263,11 @@ def live_only(spark, sf):
 @query("j_entity", SQL_FACTS + """, q AS (SELECT conv_id, turn, unnest(""" + sql_entities("text") + """) AS e FROM conversations WHERE role = 'user')
 SELECT q.conv_id, q.turn, count(DISTINCT f.fact_id) AS facts, count(DISTINCT f.source_session) AS sessions FROM q JOIN (SELECT *, unnest(entities) AS e FROM facts WHERE kind = 'atomic') f ON q.e = f.e GROUP BY q.conv_id, q.turn""")
 def j_entity(spark, sf):
-    q = base.table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(text.entities(F.col("text"))).alias("e"))
-    postings = base.facts(spark, sf).where("kind = 'atomic'").select("fact_id", "source_session", F.explode("entities").alias("e"))
-    return q.join(postings, "e").groupBy("conv_id", "turn").agg(F.countDistinct("fact_id").alias("facts"), F.countDistinct("source_session").alias("sessions"))
+    found = base.table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(text.entities(F.col("text"))).alias("e"))
+    asked = cut(found.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("e")).alias("es")))
+    facts = base.facts(spark, sf).where("kind = 'atomic' and size(entities) > 0").select(F.col("source_session").alias("grp"), F.col("entities").alias("es"))
+    counts = overlaps.reached(asked, cut(facts))
+    return asked.join(counts, "es").select("conv_id", "turn", F.col("items").alias("facts"), F.col("groups").alias("sessions"))
 
 
 @query("j_time", SQL_FACTS + " SELECT time_bucket, count(*) AS n, count(DISTINCT source_session) AS sessions FROM facts WHERE time_bucket IN (SELECT strftime(DATE '2024-01-01' + CAST(conv_id AS INTEGER), '%Y-%m') FROM conversations) GROUP BY time_bucket")

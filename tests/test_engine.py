@@ -3,6 +3,8 @@
 import datetime as dt
 import io
 import json
+import random
+import time
 import zipfile
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import dates, parsing, routing, text
-from recollect.operators import mutations, validity, vectors
+from recollect.operators import mutations, overlaps, validity, vectors
 from recollect.plans.memory import Memory, as_sessions, retried
 from recollect.sources import files
 from recollect.streaming import ingest
@@ -214,3 +216,27 @@ def test_memory(spark, tmp_path):
     assert memory.forget(doc_id="d1") == 2 and memory.facts().count() == 0
     with pytest.raises(ValueError):
         memory.forget()
+
+
+@pytest.mark.parametrize(("rare", "asked_block", "held_block"), [(20, 16, 32), (0, 1000, 1000), (10**6, 10, 10)])
+def test_reached_against_brute_force(spark, rare, asked_block, held_block):
+    rng = random.Random(3)
+    drawn = lambda: sorted({f"w{min(39, int(rng.expovariate(0.15)))}" for _ in range(rng.randint(0, 6))})
+    asked, held = [drawn() for _ in range(150)], [(rng.choice(["a", "a", None, f"g{n % 60}"]), drawn()) for n in range(2000)]
+    want = {}
+    for es in asked:
+        hit = [g for g, other in held if set(es) & set(other)]
+        if hit:
+            want[tuple(es)] = (len(hit), len({g for g in hit if g is not None}))
+    got = overlaps.reached(spark.createDataFrame([(x,) for x in asked], "es array<string>"), spark.createDataFrame(held, "grp string, es array<string>"), rare, asked_block, held_block)
+    assert {tuple(r["es"]): (r["items"], r["groups"]) for r in got.collect()} == want
+
+
+def test_reached_makes_no_row_per_pair_of_a_common_element(spark):
+    """40,000 sets that all hold one element, by 40,000 that ask for it: 1.6 billion pairs."""
+    n = 40_000
+    asked = spark.range(n).select(F.array(F.lit("of"), F.concat(F.lit("x"), "id")).alias("es"))
+    held = spark.range(n).select((F.col("id") % 100).cast("string").alias("grp"), F.array(F.lit("of"), F.concat(F.lit("y"), "id")).alias("es"))
+    start = time.monotonic()
+    assert overlaps.reached(asked, held).groupBy("items", "groups").count().collect() == [(n, 100, n)]
+    assert time.monotonic() - start < 90
