@@ -240,3 +240,43 @@ def test_reached_makes_no_row_per_pair_of_a_common_element(spark):
     start = time.monotonic()
     assert overlaps.reached(asked, held).groupBy("items", "groups").count().collect() == [(n, 100, n)]
     assert time.monotonic() - start < 90
+
+
+def test_half_up_as_sql_rounds(spark):
+    x = [0.1234565, 0.1234575, -0.1234565, 0.3, 2.5e-7, 5e-7, 1.0000005, 123.4567895, 0.9999995]
+    rounded = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert validity.half_up(np.array(x)).tolist() == rounded
+
+
+@pytest.mark.parametrize("tags", [5, 500])
+def test_best_older_against_all_pairs(spark, tags):
+    rng = random.Random(tags)
+    day = dt.datetime(2024, 1, 1)
+    unit = lambda: [float(round(rng.gauss(0, 1) / 2, 1)) for _ in range(4)]  # noqa: E731  # coarse: many equal scores
+    rows = [(n, n * 7 % 301, None if n % 7 == 0 else day + dt.timedelta(rng.randint(0, 20)), unit() if n % 50 else None, [f"t{rng.randint(0, tags)}" for _ in range(rng.randint(0, 4))], rng.random() < 0.3, n % 3) for n in range(300)]
+    facts = spark.createDataFrame(rows, "fact_id long, pos long, ts timestamp_ntz, unit array<double>, tags array<string>, changing boolean, bucket int")
+    best = {}
+    for n in rows:
+        for o in rows:
+            if n[0] == o[0] or n[6] != o[6] or not n[3] or not o[3] or not (n[2] is None or (o[2] is not None and n[2] > o[2])):
+                continue
+            score = round(sum(a * b for a, b in zip(n[3], o[3], strict=True)), 6)
+            if score >= 0.3 and (score >= 0.9 or set(n[4]) & set(o[4]) or (n[5] and o[5])):
+                best[n[0]] = max(best.get(n[0], ()), (score, o[1], o[0]))
+    want, latest = {}, dt.datetime.max
+    for n in rows:
+        if n[0] in best:
+            rank = (n[2] is not None, n[2] or latest, -n[1] if n[2] is None else n[1])
+            want[best[n[0]][2]] = max(want.get(best[n[0]][2], ()), (*rank, n[0]))
+    for block in (4096, 16):
+        got = {r["old_id"]: r["new_id"] for r in validity.supersessions(facts, facts, 0.3, 0.9, block).collect()}
+        assert got == {o: x[-1] for o, x in want.items()}
+
+
+def test_supersessions_leave_a_row_a_fact_not_a_row_a_pair(spark):
+    """24,000 facts of one bucket, 288 million pairs of an older and a newer one."""
+    n = 24_000
+    facts = spark.range(n).select(F.col("id").alias("fact_id"), F.col("id").alias("pos"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.sin(F.col("id") * i)).alias("unit"), F.array().cast("array<string>").alias("tags"), F.lit(True).alias("changing"), F.lit(1).alias("bucket"))
+    start = time.monotonic()
+    assert validity.supersessions(facts, facts).count() > n / 4
+    assert time.monotonic() - start < 90
