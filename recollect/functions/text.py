@@ -151,8 +151,29 @@ def cost(total_tokens: Column, model: Column) -> Column:
     return F.when(total_tokens <= 0, 0.0).otherwise(total_tokens / 1e6 * price_per_million(model))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A double with so many (1 to 15) decimals, rounded to even on its exact binary value as C's printf does; Java's format
+    rounds the shortest decimals half up. The product with 10**digits is kept exact as a sum of two doubles (Dekker)."""
+    scale = float(10**digits)
+    size = F.abs(x)
+    whole = F.floor(size)
+    part = size - whole.cast("double")
+    halves = lambda v: (v * F.lit(134217729.0)) - (v * F.lit(134217729.0) - v)  # noqa: E731  # the upper half of its bits
+    high = halves(part)
+    low = part - high
+    top = (scale * 134217729.0) - (scale * 134217729.0 - scale)
+    product = part * F.lit(scale)
+    error = ((high * F.lit(top) - product) + high * F.lit(scale - top) + low * F.lit(top)) + low * F.lit(scale - top)
+    units = F.floor(product)
+    over = (product - units.cast("double") - F.lit(0.5)) + error
+    units = units + F.when((over > 0) | ((over == 0) & (units % 2 == 1)), 1).otherwise(0)
+    carried = F.when(units == int(scale), 1).otherwise(0)
+    text = F.concat(F.when(x < 0, "-").otherwise(""), (whole + carried).cast("string"), F.lit("."), F.lpad((units % int(scale)).cast("string"), digits, "0"))
+    return F.when(size < float(1 << 62), text).otherwise(F.format_string(f"%.{digits}f", x))  # beyond a long, and not a number
+
+
 def cost_text(usd: Column) -> Column:
-    digits = lambda k: F.concat(F.lit("$"), F.format_string(f"%.{k}f", usd))
+    digits = lambda k: F.concat(F.lit("$"), fixed(usd, k))
     return F.when(usd.isNull(), "cost n/a").when(usd == 0, "$0").when(usd < 0.01, digits(4)).when(usd < 1, digits(3)).otherwise(digits(2))
 
 

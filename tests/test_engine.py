@@ -280,3 +280,14 @@ def test_supersessions_leave_a_row_a_fact_not_a_row_a_pair(spark):
     start = time.monotonic()
     assert validity.supersessions(facts, facts).count() > n / 4
     assert time.monotonic() - start < 90
+
+
+def test_fixed_rounds_the_binary_value_as_printf_does(spark):
+    """Ties go to even, and 1.005 is below its decimals: Java's format gives $0.13, $2.68 and $1.01 for the first ones."""
+    rng = random.Random(9)
+    values = [0.125, 0.375, 2.675, 1.005, 0.0625, 0.00005, 0.00015, 0.9995, 0.99951, 1.995, 0.00995, 0.009995, 0.0625 / 4, 12345678.125, 2.0**53 + 2, -0.125, -0.00005, 1e-30, 5e-324]
+    values += [rng.randrange(200_000) / 1e4 * p / 100 for p in (0.15, 0.4, 1.1, 2.5, 15.0) for _ in range(400)] + [rng.randrange(10**6) / 8 / 10**k for k in (0, 1, 2, 3) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for k in (2, 3, 4):
+        assert [r[0] for r in df.select(text.fixed(F.col("x"), k)).collect()] == [f"{v:.{k}f}" for v in values]
+    assert one(spark, text.cost_text(F.lit(1.125))) == "$1.12" and one(spark, text.cost_text(F.lit(0.0625))) == "$0.062"
