@@ -42,6 +42,8 @@ SMALL, DEEPEST = 128, 7
 #: bucket crowds is still found with RECALL (see recall_of).
 WAYS = (4, 2)
 BLOCK = 256
+#: Sets of a crowded bucket that its others are compared with, and sets a block where those in no group are compared with all.
+PIVOTS, STRAYS = 8, (1024, 4096)
 #: Least share of equal signature components at which two sets of a bucket stay candidates: five standard deviations under 0.8.
 SURE = 0.8 - 5 * math.sqrt(0.8 * 0.2 / PERMUTATIONS)
 LOWEST = -(1 << 63)
@@ -196,9 +198,73 @@ def crowded(nodes: DataFrame, small: int) -> DataFrame:
     return little.join(once, "node", "left_semi").unionByName(rows.where(F.col("m") > small))
 
 
+def settled(large: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) links of crowded buckets that are one group, and the rows (node, id) of the others. Each set of a bucket is
+    compared with ``PIVOTS`` drawn ones; sets likely similar to one, and pivots that have such a set in common, are one
+    candidate group. If it holds half of the bucket or more, its sets are linked by their least, and the others are compared
+    with every set of the bucket, in blocks of STRAYS, so no pair is lost. Splitting such a bucket would find its group
+    again and again, on more rows at each level."""
+    if not large.limit(1).count():
+        return large.select(F.col("id").alias("a"), F.col("id").alias("b")), large
+    drawn = large.groupBy("node").agg(F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"] for k in range(PIVOTS)]).alias("p"))
+    pivots = drawn.select("node", F.posexplode("p").alias("k", "id")).join(sigs, "id").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "sig"))).alias("p"))
+    pivots = pivots.select("node", F.transform("p", lambda x: x["sig"]).alias("others"))
+    rows = large.join(sigs, "id").select("node", "id", "sig").join(pivots, "node")
+    bits = sum((F.when(F.col("alike")[k], 1 << k).otherwise(0) for k in range(PIVOTS)), F.lit(0))
+    flagged = cut(rows.select("node", "id", "sig", "others").mapInArrow(_alike, "node long, id long, alike array<boolean>").select("node", "id", bits.alias("mask")))
+    # at most 2**PIVOTS masks a bucket: the pivots that hang together with the most frequent mask's
+    masks = flagged.groupBy("node", "mask").agg(F.count("*").alias("n"), F.min("id").alias("least")).groupBy("node").agg(F.sum("n").alias("m"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "mask", "least"))).alias("of"))
+    first = F.filter("of", lambda x: x["mask"] != 0)[0]["mask"]
+    united = masks.withColumn("all", F.aggregate(F.flatten(F.array_repeat("of", PIVOTS)), first, lambda u, x: F.when(u.bitwiseAND(x["mask"]) != 0, u.bitwiseOR(x["mask"])).otherwise(u)))
+    inside = F.filter("of", lambda x: x["mask"].bitwiseAND(F.col("all")) != 0)
+    chosen = united.select("node", "all", F.array_min(F.transform(inside, lambda x: x["least"])).alias("root"), "m", (F.col("m") + F.aggregate(inside, F.lit(0).cast("long"), lambda t, x: t + x["minus"])).alias("u"))
+    blocks = lambda c, n: F.ceil(F.col(c) / n).cast("int")
+    chosen = chosen.select("node", "all", "root", (2 * F.col("u") <= F.col("m")).alias("one"), "u", blocks("u", STRAYS[0]).alias("xs"), blocks("m", STRAYS[1]).alias("ys"))
+    told = cut(flagged.join(chosen, "node").select("node", "id", "root", "one", "u", "xs", "ys", (F.col("mask").bitwiseAND(F.col("all")) != 0).alias("near")))
+    links = told.where("one and near and id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    body = told.where("one and u > 0").join(sigs, "id")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    place = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    own = [F.col(c).alias(c) for c in ("node", "id", "sig")]
+    left = body.where("not near").select(*own, place("xs").alias("x"), every("ys").alias("y")).alias("l").groupBy("node", "x", "y")
+    right = body.select(F.col("node").alias("node"), F.col("id").alias("own"), F.when(F.col("near"), F.col("root")).otherwise(F.col("id")).alias("id"), F.col("sig").alias("sig"), every("xs").alias("x"), place("ys").alias("y")).alias("r").groupBy("node", "x", "y")
+    return links.unionByName(left.cogroup(right).applyInArrow(_strays, "a long, b long")), told.where("not one").select("node", "id")
+
+
+def _strays(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(a, b) links of sets (node, id, sig) that are in no group to what is alike in a bucket (node, own, id, sig); own: the set
+    itself, id: its group's least."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(left) and len(right):
+        one, two = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(t), -1) for t in (left, right))
+        own, ids = right.column("own").to_numpy(), right.column("id").to_numpy()
+        for z, sig in zip(left.column("id").to_numpy(), one, strict=True):
+            met = np.unique(ids[((two == sig).mean(axis=1) >= SURE) & (own != z)])
+            a.append(np.full(len(met), z)), b.append(met)
+    a, b = np.concatenate(a), np.concatenate(b)
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = names[roots(len(names), at[: len(a)], at[len(a) :])]
+    moved = root != names
+    return pa.table({"a": pa.array(names[moved], pa.int64()), "b": pa.array(root[moved], pa.int64())})
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, id, alike): whether the row's signature is likely similar to each of the others it comes with."""
+    for batch in batches:
+        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(len(batch), -1) if len(batch) else np.zeros((0, PERMUTATIONS), np.uint16)
+        lists = batch.column(3)
+        other = np.frombuffer(b"".join(lists.flatten().to_pylist()), np.uint16).reshape(-1, sig.shape[1])
+        lengths = lists.value_lengths().to_numpy()
+        own, same = np.repeat(np.arange(len(sig)), lengths), np.empty(len(other), bool)
+        for k in range(0, len(own), 1 << 13):
+            same[k : k + (1 << 13)] = (sig[own[k : k + (1 << 13)]] == other[k : k + (1 << 13)]).mean(axis=1) >= SURE
+        alike = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(same))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), alike], ["node", "id", "alike"])
+
+
 def candidate_links(nodes: DataFrame, sigs: DataFrame, small: int = SMALL, depth: int = DEPTH, deepest: int = DEEPEST) -> DataFrame:
-    """(a, b) links of candidates, from (node, id) and (id, sig): buckets over `small` are split on further sampled tokens
-    first. At the last level a bucket still larger isn't gathered: its sets are linked by its least id. Only the signatures
+    """(a, b) links of candidates, from (node, id) and (id, sig): buckets over `small` that aren't one group (settled) are
+    split on further sampled tokens first. At the last level a bucket still larger isn't gathered: its sets are linked by its least id. Only the signatures
     of sets in shared buckets are read again."""
     found, level = [], 0
     while True:
@@ -206,6 +272,9 @@ def candidate_links(nodes: DataFrame, sigs: DataFrame, small: int = SMALL, depth
         if not level:
             sigs = cut(sigs.join(sized.select("id").distinct(), "id", "left_semi"))
         little, large = sized.where(F.col("m") <= small).select("node", "id"), sized.where(F.col("m") > small).select("node", "id")
+        if depth < deepest:
+            near, large = settled(large, sigs)
+            found.append(near)
         found.append(little.join(sigs, "id").select("node", "id", "sig").repartition("node").sortWithinPartitions("node", "id").mapInArrow(_bucket_links, "a long, b long"))
         if depth >= deepest:
             least = large.groupBy("node").agg(F.min("id").alias("least"))

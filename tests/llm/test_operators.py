@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from recollect.llm import chat, chosen_path, licenses, line_dedup, minhash, packing, pieces, quality, repeats, scoring
 from recollect.llm.components import components
@@ -379,6 +380,30 @@ def test_regular_long_words_differ():
     assert h[0] != h[1]
 
 
+def test_crowded_bucket_of_one_group_is_not_split(spark):
+    """300 near copies, two sets further off and three that are like none, in one bucket: one pass links what is alike."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 16, 128, dtype=np.uint16)
+    changed = lambda n: np.where(rng.permutation(128) < n, rng.integers(0, 1 << 16, 128, dtype=np.uint16), base)
+    near = [changed(6) for _ in range(300)]
+    edge = [near[n].copy() for n in (10, 20)]
+    for x, n in zip(edge, (10, 20), strict=True):
+        x[rng.permutation(np.flatnonzero(near[n] == base))[:27]] = 7
+        x[near[n] != base] = near[n][near[n] != base]
+    far = [rng.integers(0, 1 << 16, 128, dtype=np.uint16) for _ in range(3)]
+    sigs = [*far, *near, *edge]
+    table = spark.createDataFrame([(i, row.tobytes()) for i, row in enumerate(sigs)], "id long, sig binary")
+    large = spark.range(len(sigs)).select(F.lit(1).cast("long").alias("node"), "id")
+    links, rest = chosen_path.settled(large, table)
+    pairs = {(r["a"], r["b"]) for r in links.collect()}
+    assert rest.count() == 0 and all(b < a for a, b in pairs) and len(pairs) < 320
+    label = dict(enumerate(chosen_path.roots(len(sigs), *(np.array([p[k] for p in pairs]) for k in (0, 1)))))
+    assert {label[i] for i in range(3, len(sigs))} == {3} and [label[i] for i in range(3)] == [0, 1, 2]
+    groups = [changed(6) if n % 3 == 0 else rng.integers(0, 1 << 16, 128, dtype=np.uint16) for n in range(300)]
+    links, rest = chosen_path.settled(large.where("id < 300"), spark.createDataFrame([(i, row.tobytes()) for i, row in enumerate(groups)], "id long, sig binary"))
+    assert links.count() == 0 and rest.count() == 300
+
+
 def test_recall_with_crowded_buckets(spark):
     """Pairs about the threshold among thousands of texts of one template, so that most buckets are crowded."""
     r = random.Random(21)
