@@ -4,9 +4,10 @@ Each turn is ``[role]text</s>``; a text's own brackets, angles and backslashes a
 else and a formatted conversation reads back exactly. Every assistant turn is an example: all turns before it (and its own
 opening mark) are context, its text alone is under the loss mask.
 
-The prefixes of one conversation nest, so :func:`examples` keeps each context as a length into the conversation's formatted
-text: the output is linear in the input, also for a conversation that holds a third of all rows. :func:`expanded` writes the
-contexts out, for consumers that want them whole. One shuffle, on the conversation.
+Contexts are written out whole, so the output grows with the square of a conversation's turns. They exist in one row at a time:
+a conversation's text goes to its examples once for every STEP code points of context, as an array of pieces that a context is
+joined from, and neither contexts nor texts are shuffled. A long conversation's examples are thus many tasks' work; its text is
+assembled in one row.
 
 Defined cases: null text or role is empty; turns go by (turn, role, text), null turn first; repeated rows are turns each; a
 null conv_id is a conversation of its own; a conversation without assistant turns has no example but reads back; empty
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 CLOSE = "</s>"
 PIECE = 4096
+#: Code points of context after which a conversation's examples go to another task; a multiple of PIECE.
+STEP = 256 * PIECE
 # Character and escape, in the order in which they are escaped (unescaped in reverse).
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"), ("]", "\\d"))
 CONTROL_CONVERSATION = -7
@@ -41,7 +44,7 @@ def unescape(text: Column) -> Column:
 def formatted_turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, n, role, segment, context_chars, target): a row per turn, n from 1; context_chars code points of formatted
     text come before its target."""
-    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).repartition("conv_id")
     opening = F.concat(F.lit("["), escape(F.col("role")), F.lit("]"))
     marked = turns.withColumns({"opening": opening, "target": escape(F.col("text"))}).withColumn("segment", F.concat("opening", "target", F.lit(CLOSE)))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
@@ -49,42 +52,49 @@ def formatted_turns(conversations: DataFrame) -> DataFrame:
     return marked.select("conv_id", F.row_number().over(order).alias("n"), "role", "segment", (F.coalesce(before, F.lit(0)) + F.length("opening")).alias("context_chars"), "target")
 
 
-def examples(turns: DataFrame) -> DataFrame:
-    """(conv_id, n, context_chars, target, closing): one per assistant turn of formatted_turns; only target is trained."""
-    return turns.where(F.col("role") == "assistant").select("conv_id", "n", "context_chars", "target", F.lit(CLOSE).alias("closing"))
-
-
 def conversations_text(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted): each conversation's text, of which every context is a prefix."""
     return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "segment"))).alias("t")).select("conv_id", F.array_join(F.transform("t", lambda x: x["segment"]), "").alias("formatted"))
 
 
+def examples(turns: DataFrame) -> DataFrame:
+    """(conv_id, n, context_chars, context, target, closing): one per assistant turn of formatted_turns. context is the whole text
+    of all turns before it and of its own opening mark; only target is trained. Contexts are joined from pieces of PIECE code
+    points, as a walk through the text to each context's end takes several times as long."""
+    steps = lambda n: F.floor(n / STEP).cast("int")
+    replies = turns.where(F.col("role") == "assistant").withColumn("step", steps(F.col("context_chars"))).alias("e")
+    cut = conversations_text(turns).select("conv_id", F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"))
+    dealt = cut.select("conv_id", "pieces", F.explode(F.sequence(F.lit(0), steps((F.size("pieces") - 1) * PIECE))).alias("step"))
+    prefixes = dealt.select("conv_id", "step", F.slice("pieces", 1, (F.col("step") + 1) * (STEP // PIECE)).alias("pieces")).alias("c")
+    both = replies.join(prefixes, F.col("e.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("e.step") == F.col("c.step")))
+    full, rest = F.floor(F.col("e.context_chars") / PIECE).cast("int"), (F.col("e.context_chars") % PIECE).cast("int")
+    context = F.concat(F.array_join(F.slice("c.pieces", F.lit(1), full), ""), F.substr(F.get("c.pieces", full), F.lit(1), rest))
+    return both.select("e.conv_id", "e.n", "e.context_chars", context.alias("context"), "e.target", F.lit(CLOSE).alias("closing"))
+
+
+def masked(turns: DataFrame) -> DataFrame:
+    """(conv_id, n, context, target, closing, text, mask_start, mask_chars): the examples' texts, and in code points what of them
+    is trained."""
+    return examples(turns).select("conv_id", "n", "context", "target", "closing", F.concat("context", "target", "closing").alias("text"), F.col("context_chars").alias("mask_start"), F.length("target").alias("mask_chars"))
+
+
 def expanded(conversations: DataFrame) -> DataFrame:
-    """(conv_id, n, context, target, closing, text, mask_start, mask_chars): the examples written out."""
-    turns = formatted_turns(conversations)
-    out = examples(turns).alias("e").join(conversations_text(turns).alias("c"), F.col("e.conv_id").eqNullSafe(F.col("c.conv_id")))
-    context = F.expr("substring(c.formatted, 1, cast(e.context_chars as int))")
-    return out.select("e.conv_id", "e.n", context.alias("context"), "e.target", "e.closing", F.concat(context, "e.target", "e.closing").alias("text"), F.col("e.context_chars").alias("mask_start"), F.length("e.target").alias("mask_chars"))
+    """The examples of conversations, as of masked."""
+    return masked(formatted_turns(conversations))
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """Digests of what the formatted output says: turns parsed from the conversation's text, replies cut out of it from under
-    each example's mask. The text is cut into pieces of PIECE code points once, so that a mask is found without a walk from
-    the text's start."""
-    masks = examples(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", F.col("context_chars").alias("at"), F.length("target").alias("chars")))).alias("masks"))
-    c, e = conversations_text(turns).alias("c"), masks.alias("e")
-    whole = c.join(e, F.col("c.conv_id").eqNullSafe(F.col("e.conv_id")), "left").select("c.conv_id", "formatted", F.coalesce("masks", F.array().cast(masks.schema["masks"].dataType)).alias("masks"))
-    whole = whole.withColumn("runs", F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
-
-    def under(mask: Column) -> Column:
-        first, skipped = F.floor(mask["at"] / PIECE).cast("int"), (mask["at"] % PIECE).cast("int")
-        near = F.slice("runs", first + 1, F.floor((skipped + mask["chars"]) / PIECE).cast("int") + 1)
-        return F.substr(F.array_join(near, ""), skipped + 1, mask["chars"])
-
+    """Digests of what the formatted output says: turns parsed from the conversation's text, replies cut out of each example's
+    whole text from under its mask."""
+    none = F.lit(None).cast("string")
+    under = unescape(F.substr("text", (F.col("mask_start") + 1).cast("int"), F.col("mask_chars")))
+    rows = turns.select("conv_id", "n", "segment", none.alias("loss")).union(masked(turns).select("conv_id", "n", none.alias("segment"), under.alias("loss")))
+    rows = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "segment", "loss"))).alias("t"))
+    joined = lambda name: F.array_join(F.transform("t", lambda x: x[name]), "").alias(name)  # noqa: E731  without the nulls
+    whole = rows.select("conv_id", joined("segment").alias("formatted"), joined("loss"))
     pieces = F.split("formatted", CLOSE)
     said = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda s: F.concat(unescape(F.substring_index(F.substr(s, F.lit(2)), "]", 1)), F.lit("\n"), unescape(F.substr(s, F.instr(s, "]") + 1)), F.lit("\n")))
-    loss = F.array_join(F.transform("masks", lambda m: unescape(under(m))), "")
-    return whole.select("conv_id", said.alias("said"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars")).select(
+    return whole.select("conv_id", said.alias("said"), "loss", F.length("formatted").cast("long").alias("formatted_chars")).select(
         "conv_id", F.size("said").cast("long").alias("n_turns"), F.sha2(F.array_join("said", ""), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
     )

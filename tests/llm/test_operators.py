@@ -204,6 +204,30 @@ def test_chat_loss_comes_from_under_the_masks(spark, monkeypatch):
     assert read() == sha("]secon")
 
 
+def test_chat_contexts_are_written_out(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PIECE", 8)
+    monkeypatch.setattr(chat, "STEP", 32)
+    r = random.Random(9)
+    data = [(c, k, r.choice(["user", "assistant", "a[b]"]), prose(r.randint(0, 4), r) + r.choice(["", "</s>", "[é🙂]", "\\"])) for c in (1, 2, None) for k in range(12)]
+    turns = chat.formatted_turns(spark.createDataFrame([*data, (3, 0, "assistant", ""), (3, 1, "user", "x")], "conv_id long, turn long, role string, text string"))
+    got, expected = {(x["conv_id"], x["n"]): x for x in rows_of(chat.examples(turns))}, {}
+    coded = lambda x: x.replace("\\", "\\e").replace("<", "\\l").replace("[", "\\b").replace("]", "\\d")
+    for c in (1, 2, None):
+        before = ""
+        for n, (_, _, role, text) in enumerate([x for x in data if x[0] == c], 1):
+            if role == "assistant":
+                expected[c, n] = (before + "[assistant]", coded(text))
+            before += f"[{coded(role)}]{coded(text)}</s>"
+    expected[3, 1] = ("[assistant]", "")
+    assert {k: (x["context"], x["target"]) for k, x in got.items()} == expected
+    assert all(x["context_chars"] == len(x["context"]) for x in got.values()) and max(x["context_chars"] for x in got.values()) > 3 * chat.STEP
+    assert {r["conv_id"]: r["loss_sha256"] for r in rows_of(chat.read_back(turns))} == {c: sha("".join(x[3] for x in data if x[0] == c and x[2] == "assistant")) for c in (1, 2, None)} | {3: sha("")}
+    given = chat.examples
+    whole = chat.read_back(turns).where("conv_id = 1").head()["loss_sha256"]
+    monkeypatch.setattr(chat, "examples", lambda t: given(t).withColumn("context", F.expr("substring(context, 2)")))  # a context that isn't whole
+    assert chat.read_back(turns).where("conv_id = 1").head()["loss_sha256"] != whole
+
+
 # -- 4: lines
 
 
