@@ -58,9 +58,10 @@ def conversations_text(turns: DataFrame) -> DataFrame:
 
 
 def examples(turns: DataFrame) -> DataFrame:
-    """(conv_id, n, context_chars, context, target, closing): one per assistant turn of formatted_turns. context is the whole text
-    of all turns before it and of its own opening mark; only target is trained. Contexts are joined from pieces of PIECE code
-    points, as a walk through the text to each context's end takes several times as long."""
+    """(conv_id, n, context_chars, context, target, closing, mark_chars, mark_bytes): one per assistant turn of formatted_turns.
+    context is the whole text of all turns before it and of its own opening mark; only target is trained. Contexts are joined from
+    pieces of PIECE code points, as a walk through the text to each context's end takes several times as long; the first mark_chars
+    code points of a context, its whole pieces, are mark_bytes bytes."""
     steps = lambda n: F.floor(n / STEP).cast("int")
     replies = turns.where(F.col("role") == "assistant").withColumn("step", steps(F.col("context_chars"))).alias("e")
     cut = conversations_text(turns).select("conv_id", F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"))
@@ -68,26 +69,30 @@ def examples(turns: DataFrame) -> DataFrame:
     prefixes = dealt.select("conv_id", "step", F.slice("pieces", 1, (F.col("step") + 1) * (STEP // PIECE)).alias("pieces")).alias("c")
     both = replies.join(prefixes, F.col("e.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("e.step") == F.col("c.step")))
     full, rest = F.floor(F.col("e.context_chars") / PIECE).cast("int"), (F.col("e.context_chars") % PIECE).cast("int")
-    context = F.concat(F.array_join(F.slice("c.pieces", F.lit(1), full), ""), F.substr(F.get("c.pieces", full), F.lit(1), rest))
-    return both.select("e.conv_id", "e.n", "e.context_chars", context.alias("context"), "e.target", F.lit(CLOSE).alias("closing"))
+    head, tail = F.array_join(F.slice("c.pieces", F.lit(1), full), ""), F.substr(F.get("c.pieces", full), F.lit(1), rest)
+    both = both.select("e.conv_id", "e.n", "e.context_chars", head.alias("head"), tail.alias("tail"), "e.target", (full * PIECE).alias("mark_chars"))
+    return both.select("conv_id", "n", "context_chars", F.concat("head", "tail").alias("context"), "target", F.lit(CLOSE).alias("closing"), "mark_chars", F.octet_length("head").alias("mark_bytes"))
 
 
 def masked(turns: DataFrame) -> DataFrame:
-    """(conv_id, n, context, target, closing, text, mask_start, mask_chars): the examples' texts, and in code points what of them
-    is trained."""
-    return examples(turns).select("conv_id", "n", "context", "target", "closing", F.concat("context", "target", "closing").alias("text"), F.col("context_chars").alias("mask_start"), F.length("target").alias("mask_chars"))
+    """(conv_id, n, context, target, closing, text, mask_start, mask_chars, mark_chars, mark_bytes): the examples' texts, and in code
+    points what of them is trained."""
+    text = F.concat("context", "target", "closing").alias("text")
+    return examples(turns).select("conv_id", "n", "context", "target", "closing", text, F.col("context_chars").alias("mask_start"), F.length("target").alias("mask_chars"), "mark_chars", "mark_bytes")
 
 
 def expanded(conversations: DataFrame) -> DataFrame:
     """The examples of conversations, as of masked."""
-    return masked(formatted_turns(conversations))
+    return masked(formatted_turns(conversations)).drop("mark_chars", "mark_bytes")
 
 
 def read_back(turns: DataFrame) -> DataFrame:
     """Digests of what the formatted output says: turns parsed from the conversation's text, replies cut out of each example's
-    whole text from under its mask."""
+    whole text from under its mask. Code points are counted from the text's mark on."""
     none = F.lit(None).cast("string")
-    under = unescape(F.substr("text", (F.col("mask_start") + 1).cast("int"), F.col("mask_chars")))
+    skipped = (F.col("mask_start") - F.col("mark_chars")).cast("int")
+    near = F.substr(F.col("text").cast("binary"), F.col("mark_bytes") + 1).cast("string")
+    under = unescape(F.substr(near, skipped + 1, F.col("mask_chars")))
     rows = turns.select("conv_id", "n", "segment", none.alias("loss")).union(masked(turns).select("conv_id", "n", none.alias("segment"), under.alias("loss")))
     rows = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "segment", "loss"))).alias("t"))
     joined = lambda name: F.array_join(F.transform("t", lambda x: x[name]), "").alias(name)  # noqa: E731  without the nulls
